@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality, secrets, urls
+from . import mixing, pii, quality, secrets, substring, urls
 
 QUERIES = {
+    "op1_repeated_passages": substring.op1_query,
     "op2_mix_sources": mixing.op2_query,
     "op5_secret_scan": secrets.op5_query,
     "op6_url_filter": urls.op6_query,

@@ -36,6 +36,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lay_out(df: DataFrame, n: int, key: str) -> DataFrame:
+    """df in n partitions by key, checkpointed: later groupings by key alone find their rows in place.
+
+    The checkpoint takes over the partitioning only of a plan that is fixed beforehand, hence not adaptive.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.repartition(n, key).checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def unstage(df: DataFrame) -> None:
     """Remove the files of a staged table that nothing lazy reads any more."""
     spark = df.sparkSession
