@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, pii, quality, secrets, substring, urls
+from . import mixing, nearcopies, pii, quality, secrets, substring, urls
 
 QUERIES = {
     "op1_repeated_passages": substring.op1_query,
     "op2_mix_sources": mixing.op2_query,
     "op5_secret_scan": secrets.op5_query,
     "op6_url_filter": urls.op6_query,
+    "op7_jaccard_join": nearcopies.op7_query,
     "op8_quality_rules": quality.op8_query,
     "op9_pii": pii.op9_query,
 }
