@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import annsearch, mixing, nearcopies, packing, pii, quality, secrets, substring, urls
+from . import annsearch, licenses, mixing, nearcopies, packing, pii, quality, secrets, substring, urls
 
 QUERIES = {
     "op1_repeated_passages": substring.op1_query,
     "op2_mix_sources": mixing.op2_query,
+    "op3_license_scan": licenses.op3_query,
     "op4_nearest_neighbours": annsearch.op4_query,
     "op5_secret_scan": secrets.op5_query,
     "op6_url_filter": urls.op6_query,
