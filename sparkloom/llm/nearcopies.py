@@ -34,8 +34,8 @@ TOLERANCE, STEP = 1e-6, 32
 BAND_BLOCK, CLUSTER_BLOCK = 8192, 1024
 #: Groups up to this size are compared pair by pair, many groups at a time.
 SMALL = 24
-#: Words hashed at a time.
-CHUNK = 1_000_000
+#: Bytes of words hashed at a time.
+CHUNK = 2_000_000
 
 MULTIPLIERS = mix(np.arange(1, VALUES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -92,7 +92,7 @@ def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
     for row in rows:
         now.append(row)
         size += len(row[1])
-        if size >= 6 * CHUNK:
+        if size >= CHUNK:
             yield now
             now, size = [], 0
     if now:

@@ -29,7 +29,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 to base**(n - 1) modulo 2**64."""
     known = _POWERS.get(base)
     if known is None or len(known) < n:
-        size = max(n, 1 << 16, 2 * len(known) if known is not None else 0)
+        size = ((n >> 18) + 1) << 18
         known = np.full(size, base & _MASK, dtype=np.uint64)
         known[0] = 1
         np.multiply.accumulate(known, out=known)
