@@ -36,7 +36,7 @@ def matmul(df: DataFrame, cols: list[str], matrix: np.ndarray, names: list[str])
 
 def from_columns(spark, columns: dict[str, list[float]]) -> DataFrame:
     """A DataFrame with a rid from equally long columns."""
-    if len({len(v) for v in columns.values()}) != 1 or not next(iter(columns.values())):
+    if len({len(v) for v in columns.values()}) != 1 or len(next(iter(columns.values()))) == 0:
         raise ShapeMismatch("columns of one length, not empty, are needed")
     rows = [(i, *map(float, r)) for i, r in enumerate(zip(*columns.values(), strict=True))]
     return spark.createDataFrame(rows, "rid bigint, " + ", ".join(f"`{c}` double" for c in columns))

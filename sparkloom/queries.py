@@ -235,7 +235,11 @@ def variance_threshold(spark, d):
 _POLY = [t_ for k in (1, 2) for t_ in itertools.combinations_with_replacement(LI[:3], k)]
 
 
-@query("polynomial", f"SELECT {KEYS}, 1.0::DOUBLE AS \"1\", " + ", ".join(rnd(" * ".join(p), scalers.PolynomialModel(list(p), len(p)).names_out()[-1] if len(set(p)) == len(p) else f"{p[0]}^2", 4) for p in _POLY) + " FROM lineitem")
+def _product_name(p: tuple[str, ...]) -> str:
+    return f"{p[0]}^2" if len(p) == 2 and p[0] == p[1] else " ".join(p)
+
+
+@query("polynomial", f"SELECT {KEYS}, 1.0::DOUBLE AS \"1\", " + ", ".join(rnd(" * ".join(p), _product_name(p), 4) for p in _POLY) + " FROM lineitem")
 def polynomial(spark, d):
     return rounded(scalers.PolynomialFeatures(2).fit_transform(lineitem(spark, d).select(*KEY, *LI[:3]), LI[:3]), n=4)
 
@@ -359,12 +363,12 @@ KNN_REFERENCE = "c_custkey <= 200"
 def _knn(name: str, weights: str) -> None:
     def run(spark, d):
         c = t(spark, d, "customer").where(KNN_REFERENCE)
-        df = c.select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("bal"), F.when(F.col("c_custkey") % 7 != 0, F.col("c_nationkey").cast("double")).alias("nation"))
+        df = c.select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("bal"), F.when((F.col("c_custkey") % 7 != 0) | (F.col("c_custkey") % 5 == 0), F.col("c_nationkey").cast("double")).alias("nation"))
         return rounded(imputers.KnnImputer(3, weights, "c_custkey").fit_transform(df, ["bal", "nation"]), n=5)
 
     w = "1.0" if weights == "uniform" else "1.0 / greatest(d, 1e-12)"
     QUERIES[name] = run
-    ORACLES[name] = f"""WITH h AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS bal, CASE WHEN c_custkey % 7 <> 0 THEN c_nationkey::DOUBLE END AS nation FROM customer WHERE {KNN_REFERENCE}),
+    ORACLES[name] = f"""WITH h AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS bal, CASE WHEN c_custkey % 7 <> 0 OR c_custkey % 5 = 0 THEN c_nationkey::DOUBLE END AS nation FROM customer WHERE {KNN_REFERENCE}),
       p AS (SELECT a.c_custkey id, b.c_custkey ref, b.bal rb, b.nation rn, (a.bal IS NOT NULL AND b.bal IS NOT NULL)::INT + (a.nation IS NOT NULL AND b.nation IS NOT NULL)::INT AS k,
         coalesce(pow(a.bal - b.bal, 2), 0) + coalesce(pow(a.nation - b.nation, 2), 0) AS s FROM h a, h b WHERE a.bal IS NULL OR a.nation IS NULL),
       n AS (SELECT *, s * (2.0 / k) AS d, row_number() OVER (PARTITION BY id ORDER BY s * (2.0 / k), ref) AS r FROM p WHERE k > 0),
