@@ -31,7 +31,7 @@ SPAN = 35
 #: Words of an anchor block.
 BLOCK = 18
 #: Bytes of words in a pack; input bytes for each bucket of hashes.
-PACK, BUCKET = 6_000_000, 8_000_000
+PACK, BUCKET = 3_000_000, 8_000_000
 #: Bits of an anchor's hash: a false hit only costs an extension that isn't confirmed.
 ANCHOR_BITS = 48
 SECOND_BASE = 0xFF51AFD7ED558CCD
