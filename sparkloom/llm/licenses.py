@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Least share of a template's words that an occurrence aligns.
 COVERAGE = 0.8
 #: Words that an occurrence may have beyond its template, as a share of the template, and at least this many.
-SLACK, LEAST_SLACK = 0.5, 8
+SLACK, LEAST_SLACK = 0.25, 1
 #: Cells of the table by which a gap without anchors is aligned; larger ones match at their ends only.
 MOST_CELLS = 250_000
 
@@ -185,10 +185,10 @@ def occurrences(words: list[str], templates: tuple[Template, ...], coverage: flo
         for begin in begins:
             if begin <= last:
                 continue
-            last = begin + slack // 2  # starts close by see the same stretch
+            last = begin  # of equal ones the first will do
             low, high = max(0, begin - slack), min(len(words), begin + len(t.words) + slack)
             pairs = align(words[low:high], list(t.words))
-            if len(pairs) >= coverage * len(t.words):
+            if len(pairs) >= coverage * len(t.words) and pairs[-1][0] - pairs[0][0] < len(t.words) + slack:
                 best.append((len(pairs) / len(t.words), low + pairs[0][0], low + pairs[-1][0] + 1))
         for share, s, e in sorted(best, key=lambda x: (-x[0], x[1])):
             if not any(s < f[1] and f[0] < e for f in found):
