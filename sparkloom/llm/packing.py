@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -18,8 +19,6 @@ MAX_TOKENS = 2048
 END_ID = 1
 #: Characters tokenized at a time.
 CHUNK = 3_000_000
-#: Pieces of one length that one task ranks, about.
-RANKED = 100_000
 
 
 def vocabulary() -> str:
@@ -144,9 +143,10 @@ def pack_documents(docs: DataFrame, path: str | None = None, size: int = MAX_TOK
     """
     cut = stage(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_cut(path, size), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = max(1, -(-sum(histogram.values()) // RANKED))
-    block = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).cast("int")
-    dealt = cut.withColumn("block", block)
+    # About as many blocks of a length as each has pieces: neither a block nor the list of blocks is long.
+    blocks = docs.sparkSession.createDataFrame([(k, max(1, math.isqrt(n) // 2)) for k, n in histogram.items()], "length bigint, blocks int")
+    block = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("blocks")).cast("int")
+    dealt = cut.join(F.broadcast(blocks), "length").withColumn("block", block)
     within = dealt.withColumn("place", F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "start", "ids_crc32")))
     counts = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
