@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import parts_for, stage
+from .shared import parts_for, stage, unstage
 from .words import mix, normal, range_hashes, words_of, WORD_BASE
 
 #: Words of an n-gram, and the least similarity, in fifths.
@@ -352,7 +352,7 @@ def _tiled(df: DataFrame, size: str, item: str, block: int) -> DataFrame:
     return df.withColumn("tile", F.least("side", "__other") * F.col("__blocks") + F.greatest("side", "__other")).drop("__blocks", "__other")
 
 
-def link_documents(docs: DataFrame) -> DataFrame:
+def link_documents(docs: DataFrame, used: list[DataFrame] | None = None) -> DataFrame:
     """Near copies by Jaccard similarity of 0.8 or more on sets of five-word n-grams: doc_id, class_id, n_links.
 
     Words are what stands between spaces and characters 9 to 13, unchanged; texts of one to four words have one
@@ -363,7 +363,7 @@ def link_documents(docs: DataFrame) -> DataFrame:
 
     Documents without words, null texts among them, are linked to nothing; rows without doc_id are left out;
     repeated rows count as copies, one row of the result each; extra columns are ignored; an empty table gives an
-    empty result.
+    empty result. used: gets the tables staged here that the result still reads.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     n = parts_for(docs, 16_000_000)
@@ -378,6 +378,8 @@ def link_documents(docs: DataFrame) -> DataFrame:
     clusters = connected_components(edges)
     empty = docs.sparkSession.createDataFrame([], "a bigint, b bigint, links bigint")
     found = empty if clusters is None else stage(_verified(docs, reps, clusters, n), "links")
+    if used is not None:
+        used += [signed, reps, *([found] if clusters is not None else [])]
 
     classes = connected_components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
@@ -407,7 +409,10 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     Documents without words stay. Repeated rows of one doc_id leave one row; rows without doc_id go, as they can't
     be told apart.
     """
-    linked = stage(link_documents(docs), "classes")
+    used: list[DataFrame] = []
+    linked = stage(link_documents(docs, used), "classes")
+    for table in used:
+        unstage(table)
     first = linked.where("doc_id = class_id").select(F.col("doc_id").alias("__id"), "class_id")
     out = docs.join(first.select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
     if first.groupBy("__id").count().where("count > 1").limit(1).count():

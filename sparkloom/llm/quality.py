@@ -150,36 +150,57 @@ def fit_votes(patterns: dict[tuple[int, ...], int], rules: tuple[Rule, ...] = RU
     return LabelModel(good, chances)
 
 
-def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_from: float = KEEP_FROM, carry: bool = False) -> DataFrame:
-    """Judge every document: doc_id, the measures, votes (array), base_failed, quality (posterior), kept.
+def _judged(m: DataFrame, fields: list[str], rules: tuple[Rule, ...], model: LabelModel, keep_from: float) -> tuple[list[Column], Column, Column, Column]:
+    """Votes, base_failed, quality and kept as expressions over a struct column __m of measures."""
+    votes = _votes(rules, fields)
+    failed, quality = F.coalesce(_on(BASE_FAILED, fields), F.lit(True)), model.posterior(votes)
+    return votes, failed, quality, ~failed & (quality >= keep_from)
+
+
+def _on(sql: str, fields: list[str]) -> Column:
+    """SQL over measures, by their path: documents may have columns of the same names."""
+    return F.expr(" ".join(f"__m.{w}" if w in fields else w for w in sql.split(" ")))
+
+
+def _votes(rules: tuple[Rule, ...], fields: list[str]) -> list[Column]:
+    return [F.when(_on(r.bad, fields), -1).when(_on(r.good, fields), 1).otherwise(0) for r in rules]
+
+
+def _measured(docs: DataFrame) -> Column:
+    return let(F.coalesce("text", F.lit("")), measures).alias("__m")
+
 
-    carry keeps docs' own columns instead of doc_id alone, with the judgement in a struct column `judged`.
+def _fitted(m: DataFrame, rules: tuple[Rule, ...]) -> tuple[list[str], LabelModel]:
+    """Names of the measures, and the model fitted to the counts of vote patterns of all rows."""
+    fields = [f.name for f in m.schema["__m"].dataType.fields]
+    tally = m.select(F.array(*_votes(rules, fields)).alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+    return fields, fit_votes({tuple(r["votes"]): r["n"] for r in tally.collect()}, rules)
+
+
+def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_from: float = KEEP_FROM) -> DataFrame:
+    """Judge every document: doc_id, the measures, votes (array), base_failed, quality (posterior), kept.
 
     Measures are taken once over whole texts and written to the shared folder; the model is fitted to the counts of
     vote patterns of all documents, of which there are at most 3 ** len(rules). A null text counts as having no
-    words, and like every text under 50 words fails; repeated rows are judged alike; an empty table gives an empty result.
+    words, and like every text under 50 words fails; repeated rows are judged alike; extra columns are ignored; an
+    empty table gives an empty result.
     """
-    own = [F.col(f"`{c}`") for c in docs.columns] if carry else [F.col("doc_id")]
-    staged = stage(docs.select(*own, let(F.coalesce("text", F.lit("")), measures).alias("__m")), "measures")
-    m = staged.select(*own, "__m", "__m.*") if not carry else staged
-    fields = {f.name for f in staged.schema["__m"].dataType.fields}
-
-    def on(sql: str) -> Column:  # the measures, by their path: documents may have columns of the same names
-        return F.expr(" ".join(f"__m.{w}" if w in fields else w for w in sql.split(" ")))
-
-    votes = [F.when(on(r.bad), -1).when(on(r.good), 1).otherwise(0) for r in rules]
-    tally = m.select(F.array(*votes).alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
-    model = fit_votes({tuple(r["votes"]): r["n"] for r in tally.collect()}, rules)
-    failed = F.coalesce(on(BASE_FAILED), F.lit(True))
-    quality = model.posterior(votes)
-    if carry:
-        return m.select(*own, F.struct("__m.*", F.array(*votes).alias("votes"), failed.alias("base_failed"), quality.alias("quality"), (~failed & (quality >= keep_from)).alias("kept")).alias("judged"))
-    return m.select("doc_id", "__m.*", F.array(*votes).alias("votes"), failed.alias("base_failed"), quality.alias("quality"), (~failed & (quality >= keep_from)).alias("kept"))
+    m = stage(docs.select("doc_id", _measured(docs)), "measures")
+    fields, model = _fitted(m, rules)
+    votes, failed, quality, kept = _judged(m, fields, rules, model, keep_from)
+    return m.select("doc_id", "__m.*", F.array(*votes).alias("votes"), failed.alias("base_failed"), quality.alias("quality"), kept.alias("kept"))
 
 
 def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_from: float = KEEP_FROM) -> DataFrame:
-    """The documents that score_quality keeps, with their own columns."""
-    return score_quality(docs, rules, keep_from, carry=True).where("judged.kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """The documents that score_quality keeps, with their own columns.
+
+    The model is fitted in a first pass; a second one takes the measures again and filters in place, which costs less
+    than to store or shuffle the texts.
+    """
+    fields, model = _fitted(docs.select(_measured(docs)), rules)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    m = docs.select(*own, _measured(docs))
+    return m.where(_judged(m, fields, rules, model, keep_from)[3]).select(*own)
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
