@@ -13,8 +13,9 @@ ALPHA = 0.7
 #: Characters out for each character in.
 VOLUME = 1.0
 SEED = 20240
-#: Sources up to this many have their rates broadcast (a row is about 200 bytes); beyond, they are joined by shuffle.
-BROADCAST_SOURCES = 10_000
+#: Rates are broadcast while sources have up to this many steps and 64-bit words of other columns together; beyond,
+#: they are joined by shuffle. A rare source in a large corpus has a high rate, and so thousands of steps.
+BROADCAST_STEPS = 1_000_000
 
 
 def uniform(*key: Column, seed: int) -> Column:
@@ -68,11 +69,12 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, alpha:
 
     Null sources form a source, null texts have no characters but are repeated as their source is; rows of the
     same doc_id get the same count; an empty table gives an empty result; columns beyond doc_id, text and source are carried.
-    A source may hold most rows: sizes are summed before the shuffle, rates are broadcast while they are few, and
+    A source may hold most rows: sizes are summed before the shuffle, rates are broadcast while they are small, and
     else joined with the documents' side split by the adaptive skew join.
     """
     rates = source_rates(docs, weights, alpha, volume).select(F.col("source").alias("__source"), poisson_steps(F.col("rate")).alias("__steps"))
-    few = rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    size = rates.agg(F.sum(F.size("__steps") + F.octet_length(F.coalesce("__source", F.lit(""))) / 8 + 8)).first()[0]
+    few = (size or 0) <= BROADCAST_STEPS
     joined = docs.join(F.broadcast(rates) if few else rates, F.col("source").eqNullSafe(F.col("__source")))
     count = let(uniform(F.col("doc_id"), seed=seed), lambda u: F.size(F.filter("__steps", lambda c: c <= u)))
     names = [F.col(f"`{c}`") for c in docs.columns]

@@ -16,4 +16,4 @@ QUERIES = {
     "op9_pii": pii.op9_query,
     "op10_packing": packing.op10_query,
 }
-ORACLES = {"op2_mix_sources": mixing.OP2_SQL}
+ORACLES = {"op1_repeated_passages": substring.OP1_SQL, "op2_mix_sources": mixing.OP2_SQL, "op6_url_filter": urls.OP6_SQL}

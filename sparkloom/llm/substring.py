@@ -312,3 +312,23 @@ def op1_query(spark, sf_dir: str) -> DataFrame:
     """op1: what is left of every document, as counts and a hash, which is taken where the words are."""
     packs, answers, n = _repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), SPAN)
     return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInPandas(_hashed(_finish(n, SPAN)), "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+
+
+#: Windows as whole word sequences: the same result by comparing every window with every other.
+OP1_SQL = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), windows AS (
+  SELECT r, p, md5(array_to_string(w[p:p + {SPAN - 1}], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - {SPAN - 2})) AS p FROM docs)
+), twice AS (
+  SELECT h FROM windows GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT r, unnest(range(p, p + {SPAN})) AS p FROM windows JOIN twice USING (h)
+), words AS (
+  SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM docs
+), left_over AS (
+  SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS kept FROM words ANTI JOIN gone USING (r, p) GROUP BY r
+)
+SELECT doc_id::BIGINT AS doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN left_over USING (r)
+"""

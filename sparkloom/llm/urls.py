@@ -156,3 +156,58 @@ def filter_urls(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, redirects:
 def op6_query(spark, sf_dir: str) -> DataFrame:
     """op6: page_id, host, path, rule, verdict of every page."""
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict", "via")
+
+
+def _sql_rest(url: str) -> str:
+    return f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) END"
+
+
+def _sql_parts(url: str) -> str:
+    """host, path and query of a URL as select items."""
+    rest = _sql_rest(url)
+    return f"""coalesce(translate(regexp_extract({rest}, '^[^/?#]*', 0), '{UPPER}', '{LOWER}'), '') AS host,
+      coalesce(regexp_extract({rest}, '^[^/?#]*([^?#]*)', 1), '') AS path, regexp_extract({rest}, '^[^?#]*(\\?[^#]*)?', 1) AS query"""
+
+
+def _sql_rule(wanted: str, rules: tuple[UrlRule, ...] = RULES) -> str:
+    """Name or action of the longest rule that fits columns host and path."""
+    longest = sorted(rules, key=lambda r: (len(r.name), r.action == "allow"), reverse=True)
+    return "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, wanted)}'" for r in longest) + " END"
+
+
+_S, _QUOTE = r"[\x09-\x0D\x20]", "[\"'']"
+_RESOURCE = "CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END || coalesce(query, '') END"
+
+OP6_SQL = rf"""
+WITH RECURSIVE parts AS (
+  SELECT page_id, url, html, {_sql_parts("url")} FROM pages
+), judged AS (
+  SELECT *, {_RESOURCE} AS resource, {_sql_rule("name")} AS rule, {_sql_rule("action")} AS action FROM parts
+), tags AS (
+  SELECT url, path, resource, unnest(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<(?:link|meta){_S}[^>]*>'),
+    lambda t: regexp_matches(t, '(?i)\brel{_S}*={_S}*{_QUOTE}?canonical\b|\bhttp-equiv{_S}*={_S}*{_QUOTE}?refresh\b'))) AS tag FROM judged
+), targets AS (
+  SELECT url, path, resource, replace(trim(CASE WHEN regexp_matches(tag, '(?i)^<link') THEN coalesce(
+      nullif(regexp_extract(tag, '(?i)\bhref{_S}*={_S}*"([^"]*)"', 1), ''), nullif(regexp_extract(tag, '(?i)\bhref{_S}*={_S}*''([^'']*)''', 1), ''),
+      nullif(regexp_extract(tag, '(?i)\bhref{_S}*={_S}*([^\x09-\x0D\x20"''>]+)', 1), ''))
+    ELSE regexp_extract(tag, '(?i)\bcontent{_S}*={_S}*{_QUOTE}?{_S}*[0-9.]*{_S}*[;,]{_S}*(?:url{_S}*={_S}*)?{_QUOTE}?([^"''>]*)', 1) END), '&amp;', '&') AS link,
+    regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS scheme, regexp_extract({_sql_rest("url")}, '^[^/?#]*', 0) AS site,
+    regexp_extract(path, '^(?:(?s:.*)/)?', 0) AS folder FROM tags
+), absolute AS (
+  SELECT resource AS a, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN starts_with(link, '//') THEN scheme || ':' || link
+    WHEN starts_with(link, '/') THEN scheme || '://' || site || link WHEN link = '' OR regexp_matches(link, '^(#|[A-Za-z][A-Za-z0-9+.-]*:)') THEN NULL
+    ELSE scheme || '://' || site || CASE WHEN folder = '' THEN '/' ELSE folder END || link END AS target FROM targets
+), ends AS (
+  SELECT a, {_RESOURCE} AS b FROM (SELECT a, {_sql_parts("target")} FROM absolute)
+), edges AS (
+  SELECT a, b FROM ends WHERE a <> b UNION SELECT b, a FROM ends WHERE a <> b
+), reach AS (
+  SELECT a AS node, a AS other FROM edges UNION SELECT node, b FROM reach JOIN edges ON other = a
+), votes AS (
+  SELECT node, bool_or(coalesce(vote = 'block', false)) AND NOT bool_or(coalesce(vote = 'allow', false)) AS spread
+  FROM (SELECT node, {_sql_rule("action")} AS vote FROM (SELECT node, regexp_extract(other, '^[^/?#]*', 0) AS host, regexp_extract(other, '^[^/?#]*([^?#]*)', 1) AS path FROM reach)) GROUP BY node
+)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN spread THEN 'block' ELSE 'allow' END) AS verdict,
+  CASE WHEN rule IS NOT NULL THEN 'rule' WHEN spread THEN 'alias' ELSE 'default' END AS via
+FROM judged LEFT JOIN votes ON resource = node
+"""

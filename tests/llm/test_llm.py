@@ -56,6 +56,16 @@ def test_repeats_against_brute_force(spark):
         substring.remove_repeats(table(spark, texts), span=20)
 
 
+def test_repeats_match_sql(spark, tmp_path):
+    import duckdb
+
+    table(spark, [*corpus(4), None, "", "one", "x " * 35, "x " * 36]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in substring.op1_query(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(db.sql(substring.OP1_SQL).fetchall()) and sum(r[2] for r in got) > 0
+
+
 def test_links_against_brute_force(spark, monkeypatch):
     texts = corpus(2)
     want = brute.links([(i, t) for i, t in enumerate(texts)])
@@ -140,6 +150,9 @@ def test_mixing_matches_sql(spark):
     want = duckdb.sql(mixing.OP2_SQL).fetchall()
     assert sorted((r["doc_id"], r["copy"], r["shuffle_key"]) for r in got) == sorted((r[0], r[5], r[6]) for r in want)
     assert [r["shuffle_key"] for r in got] == sorted(r["shuffle_key"] for r in got)
+    with pytest.MonkeyPatch.context() as patch:  # rates too large to be broadcast
+        patch.setattr(mixing, "BROADCAST_STEPS", 0)
+        assert mixing.mix_sources(docs).collect() == got
     only = mixing.mix_sources(docs, {"s1": 1.0}, volume=2.0).collect()
     assert {r["source"] for r in only} == {"s1"}
     big = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.lit("s").alias("source"))
@@ -200,6 +213,22 @@ def test_urls(spark):
     assert again[7] == "allow"  # a block and an explicit allow in one component
 
 
+def test_urls_match_sql(spark, tmp_path):
+    import duckdb
+
+    link, refresh = "<head><link rel='canonical' href={}></head>", '<meta content="3;URL=\'{}\'" http-equiv=Refresh>'
+    heads = [link.format('"http://c.example.com/en/y?a=1&amp;b=2"'), link.format("/a/b"), refresh.format("c?x"), link.format("#top"), refresh.format("//N.net/fr/"), None, "", link.format("mailto:x@y.z")]
+    hosts = ["a.org", "B.org:80", "n.net", "www.example.com", "x.example.com", "e.com"]
+    urls_ = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/1?q=/", "/fr/", "/a/b", "/a/c?x")] + [None, "", "a/b", "://x/en/"]
+    pages = [(i, u, heads[(5 * i + i // 7) % len(heads)]) for i, u in enumerate(urls_ * 3)]
+    pages += [(900, "http://z.org/1", link.format("http://y.example.com/en/q")), (901, "https://z.org/d/2", refresh.format("/1")), (901, "https://z.org/d/2", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted((tuple(r) for r in urls.op6_query(spark, str(tmp_path)).collect()), key=str)
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert got == sorted(db.sql(urls.OP6_SQL).fetchall(), key=str) and {r[5] for r in got} == {"rule", "alias", "default"}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(1000, 1000 + i) for i in range(1, 300)] + [(i, i + 1) for i in range(2000, 2100)]
