@@ -141,7 +141,7 @@ _scaled(scalers.MinMaxScaler, lambda c: f"({c} - {c}_a0) / ({c}_a1 - {c}_a0)", l
 _scaled(partial(scalers.MinMaxScaler, -1.0, 3.0), lambda c: f"-1.0 + ({c} - {c}_a0) * 4.0 / ({c}_a1 - {c}_a0)", lambda c: [f"min({c})", f"max({c})"], "minmax_scaler_range")
 _scaled(scalers.MaxAbsScaler, lambda c: f"{c} / {c}_a0", lambda c: [f"max(abs({c}))"], "maxabs_scaler")
 _scaled(scalers.RobustScaler, lambda c: f"({c} - {c}_a1) / ({c}_a2 - {c}_a0)", lambda c: [f"quantile_cont({c}, {q})" for q in (0.25, 0.5, 0.75)], "robust_scaler")
-_scaled(partial(scalers.Binarizer, 0.05), lambda c: f"CASE WHEN {c} > 0.05 THEN 1.0 ELSE 0.0 END", lambda c: ["any_value(1)"], "binarizer")
+_scaled(partial(scalers.Binarizer, 0.05), lambda c: f"CASE WHEN {c} > 0.05 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END", lambda c: ["any_value(1)"], "binarizer")
 _scaled(partial(scalers.Normalizer, "l1"), lambda c: f"{c} / ({' + '.join(f'abs({x})' for x in LI)})", lambda c: ["any_value(1)"], "normalizer_l1")
 _scaled(partial(scalers.Normalizer, "l2"), lambda c: f"{c} / sqrt({' + '.join(f'{x} * {x}' for x in LI)})", lambda c: ["any_value(1)"], "normalizer_l2")
 _scaled(partial(scalers.Normalizer, "max"), lambda c: f"{c} / greatest({', '.join(f'abs({x})' for x in LI)})", lambda c: ["any_value(1)"], "normalizer_max")
