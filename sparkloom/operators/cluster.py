@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from ..errors import InvalidConfig, InvalidInput
 from ..functions.exprs import finite
 from ..plans.fitplan import FitPlan
 from .base import Estimator, Model
+from .blocks import matrix, sweep
 from .splits import Xorshift
 
 
@@ -184,49 +186,52 @@ def _inertia(rows: DataFrame, assigned_by: np.ndarray, centres: np.ndarray) -> f
     return rows.mapInPandas(run, "t double").agg(F.sum("t")).first()[0]
 
 
-#: Rows beyond which the silhouette, quadratic in them, is refused.
-MOST_SILHOUETTE = 20_000
-
-
-def silhouette_samples(df: DataFrame, cols: list[str], label: str, rid: str = "rid", most: int = MOST_SILHOUETTE) -> DataFrame:
+def silhouette_samples(df: DataFrame, cols: list[str], label: str, rid: str = "rid") -> DataFrame:
     """(rid, silhouette) of each row by Euclidean distance; a cluster of one row scores 0.
 
-    Every row is compared with every other: more than `most` rows are refused rather than sampled. The rows, bounded
-    so, are broadcast, and tasks compare theirs with all of them in blocks.
+    Every row is compared with every other, in blocks: a block of rows keeps its sum of distances to each cluster
+    while all rows stream past. Time is quadratic in the rows; memory is not, but holds a number a cluster and row of a block.
     """
     kept = df.select(F.col(f"`{rid}`").cast("bigint").alias("rid"), F.col(f"`{label}`").cast("string").alias("label"), *(finite(c).alias(f"x{i}") for i, c in enumerate(cols)))
-    all_rows = kept.limit(most + 1).toPandas()
-    if len(all_rows) > most:
-        raise InvalidInput(f"a silhouette of more than {most} rows")
-    names, codes = np.unique(all_rows["label"].to_numpy(), return_inverse=True)
-    if not 2 <= len(names) < len(all_rows):
+    counts = {r["label"]: r["count"] for r in kept.groupBy("label").count().collect()}
+    if None in counts:
+        raise InvalidInput("a row has no cluster")
+    if not 2 <= len(counts) < sum(counts.values()):
         raise InvalidInput("two clusters and fewer than rows are needed")
-    p = len(cols)
-    points = all_rows[[f"x{i}" for i in range(p)]].to_numpy(dtype=float)
-    sizes = np.bincount(codes, minlength=len(names))
+    names = sorted(counts)
+    sizes = np.array([counts[n] for n in names])
     number = {n: i for i, n in enumerate(names)}
-    member = np.zeros((len(points), len(names)))
-    member[np.arange(len(points)), codes] = 1.0
-
-    def run(batches):
-        for batch in batches:
-            x = batch[[f"x{i}" for i in range(p)]].to_numpy(dtype=float)
-            mine = np.array([number[c] for c in batch["label"]], dtype=int)
-            scores = np.zeros(len(x))
-            for i in range(0, len(x), 64):
-                part = slice(i, i + 64)
-                sums = np.sqrt(_squares(x[part], points)) @ member
-                own = mine[part]
-                rows = np.arange(len(own))
-                a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
-                means = sums / sizes
-                means[rows, own] = np.inf
-                b = means.min(axis=1)
-                top = np.maximum(a, b)
-                scores[part] = np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)
-            yield pd.DataFrame({"rid": batch["rid"], "silhouette": scores})
-
-    return kept.mapInPandas(run, "rid bigint, silhouette double")
+    xs = [f"x{i}" for i in range(len(cols))]
+
+    def block(columns):
+        return matrix(columns, xs), np.array([number[n] for n in columns["label"].to_pylist()], dtype=int)
+
+    def start(columns):
+        x, own = block(columns)
+        return columns["rid"], x, own, np.zeros((len(own), len(names)))
+
+    def meet(state, columns):
+        _, x, _, sums = state
+        y, codes = block(columns)
+        order = np.argsort(codes, kind="stable")
+        found, firsts = np.unique(codes[order], return_index=True)
+        squares = np.zeros((x.shape[1], y.shape[1]))
+        for mine, other in zip(x, y[:, order], strict=True):
+            squares += (mine[:, None] - other[None, :]) ** 2
+        sums[:, found] += np.add.reduceat(np.sqrt(squares), firsts, axis=1)
+
+    def finish(state):
+        rids, _, own, sums = state
+        rows = np.arange(len(own))
+        a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
+        means = sums / sizes
+        means[rows, own] = np.inf
+        b = means.min(axis=1)
+        top = np.maximum(a, b)
+        scores = np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)
+        yield pa.RecordBatch.from_arrays([rids, pa.array(scores)], ["rid", "silhouette"])
+
+    return sweep(kept, kept.drop("rid"), "label", start, meet, finish, "rid bigint, silhouette double")
 
 
 def silhouette_score(df: DataFrame, cols: list[str], label: str, rid: str = "rid") -> float:

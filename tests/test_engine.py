@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom import errors
+from sparkloom import errors, queries
 from sparkloom.operators import cluster, compose, decomposition, encoders, imputers, linear, matrix, metrics, profile, report, scalers, selection, splits, stats
 from sparkloom.operators.base import Model
 from sparkloom.operators.linalg import cholesky_solve, pinv_solve
@@ -227,6 +227,23 @@ def test_kmeans_and_silhouette(spark):
         cluster.KMeans(20).fit(df, ["a", "b"])
 
 
+def test_silhouette_of_all_customers(spark):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    got = {r["rid"]: r["silhouette"] for r in queries.QUERIES["silhouette"](spark, folder).collect()}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet'")
+        want = dict(db.execute(queries.ORACLES["silhouette"].replace(" WHERE c_custkey <= 400", "")).fetchall())
+    assert len(want) > 401 and got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-6) for i in want)
+
+
+def test_silhouette_of_many_rows(spark):
+    n = 20_500
+    df = spark.range(n).select(F.col("id").alias("rid"), (F.col("id") % 2).alias("k"), (F.col("id") % 2 * 10.0).alias("a"))
+    assert cluster.silhouette_samples(df, ["a"], "k").agg(F.count("*"), F.min("silhouette"), F.max("silhouette")).first() == (n, 1.0, 1.0)
+
+
 def test_metrics(spark):
     df = frame(spark, y=[3, -0.5, 2, 7], p=[2.5, 0, 2, 8])
     r = metrics.regression_metrics(df, "y", "p").first()
