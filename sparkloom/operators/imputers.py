@@ -6,13 +6,17 @@ import math
 from dataclasses import dataclass, field
 from typing import ClassVar
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from ..errors import AllMissing, InvalidConfig, InvalidInput
 from ..functions.exprs import num
 from ..plans.fitplan import FitPlan
 from .base import Estimator, Model, per_column
+from .blocks import matrix, sweep
 
 
 def _infinite(c: str) -> Column:
@@ -69,6 +73,58 @@ def _mode(df: DataFrame, c: str) -> float | None:
     return None if row is None else row["v"]
 
 
+def _nearest_fills(asked: DataFrame, ref: DataFrame, p: int, k: int, weights: str) -> DataFrame:
+    """__id, __x0..., __f0... of each asked row that shares a column with a reference row: the means of its k nearest."""
+
+    def start(columns):
+        x = matrix(columns, [f"__x{i}" for i in range(p)])
+        none = np.zeros(0)
+        # Of the nearest so far: their row in the block, distance and values; by row, distance, place in the reference.
+        return {"columns": columns, "x": x, "row": none.astype(int), "d": none, "r": np.zeros((p, 0))}
+
+    def meet(state, columns):
+        x, r = state["x"], matrix(columns, [f"r{i}" for i in range(p)])
+        shared, squares = np.zeros((x.shape[1], r.shape[1])), np.zeros((x.shape[1], r.shape[1]))
+        for mine, other in zip(x, r, strict=True):
+            both = ~np.isnan(mine)[:, None] & ~np.isnan(other)[None, :]
+            shared += both
+            squares += np.where(both, (mine[:, None] - other[None, :]) ** 2, 0.0)
+        d = np.where(shared > 0, squares * (p / np.maximum(shared, 1)), np.nan)
+        held = np.bincount(state["row"], minlength=len(d))
+        worst = np.full(len(d), np.inf)
+        full = np.flatnonzero(held == k)
+        worst[full] = state["d"][np.cumsum(held)[full] - 1]
+        kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] > k else np.full(len(d), np.nan)
+        # A later row has to be nearer than the worst of k; of this block the k nearest count, with all ties.
+        some = (shared > 0) & ~(d > kth[:, None]) & ((held < k)[:, None] | (d < worst[:, None]))
+        row, at = np.nonzero(some)
+        row, dist = np.concatenate([state["row"], row]), np.concatenate([state["d"], d[some]])
+        values = np.concatenate([state["r"], r[:, at]], axis=1)
+        order = np.lexsort((dist, row))
+        row = row[order]
+        firsts = np.searchsorted(row, np.arange(len(d)))
+        keep = np.arange(len(row)) - firsts[row] < k
+        order = order[keep]
+        state.update(row=row[keep], d=dist[order], r=values[:, order])
+
+    def finish(state):
+        row, n = state["row"], state["x"].shape[1]
+        w = np.ones(len(row)) if weights == "uniform" else 1.0 / np.maximum(state["d"], 1e-12)
+        fills = []
+        for r in state["r"]:
+            there = ~np.isnan(r)
+            total = np.bincount(row[there], w[there], minlength=n)
+            sums = np.bincount(row[there], (r * w)[there], minlength=n)
+            fills.append(pa.array(sums / np.where(total > 0, total, 1.0), mask=~(total > 0)))
+        kept = pa.array(np.flatnonzero(np.bincount(row, minlength=n)))
+        columns = [*state["columns"].values(), pa.array(np.ones(n, dtype=bool)), *fills]
+        yield pa.RecordBatch.from_arrays([c.take(kept) for c in columns], names)
+
+    schema = StructType([*asked.schema, StructField("__found", BooleanType()), *(StructField(f"__f{i}", DoubleType()) for i in range(p))])
+    names = schema.fieldNames()
+    return sweep(asked, ref, "ref", start, meet, finish, schema)
+
+
 @dataclass
 class KnnModel(Model):
     """Reference rows stay a DataFrame; what to_json() keeps is the parameters."""
@@ -80,36 +136,28 @@ class KnnModel(Model):
     reference: DataFrame | None = field(default=None, metadata={"stored": False})
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Only rows that lack something are compared, each with all reference rows, in tasks over the larger side.
+        """Only rows that lack something are compared, each with all reference rows.
 
-        The incomplete rows are joined with the reference by nested loops: the smaller of them is broadcast while it
-        is small, and pairs shrink to k neighbours by a top-k aggregate before they are shuffled whole.
+        Blocks of incomplete rows meet the reference block by block, in the order of its rid, and keep the k nearest so
+        far: no pairs are stored or shuffled. The fills are joined to the rows they were found for, by id and values.
         """
         self.need(df, [*self.cols, self.rid])
-        ref = self.reference.select(F.col(f"`{self.rid}`").alias("__ref"), *(num(c).alias(f"__r{i}") for i, c in enumerate(self.cols)))
+        p = len(self.cols)
+        ref = self.reference.select(F.col(f"`{self.rid}`").alias("ref"), *(num(c).alias(f"r{i}") for i, c in enumerate(self.cols)))
         x = [num(c) for c in self.cols]
         lacking = x[0].isNull()
         for c in x[1:]:
             lacking = lacking | c.isNull()
-        asked = df.where(lacking).select(F.col(f"`{self.rid}`").alias("__id"), *(c.alias(f"__x{i}") for i, c in enumerate(x)))
-        p = len(self.cols)
-        both = [F.col(f"__x{i}").isNotNull() & F.col(f"__r{i}").isNotNull() for i in range(p)]
-        shared = sum((F.when(b, 1).otherwise(0) for b in both[1:]), F.when(both[0], 1).otherwise(0))
-        squares = sum((F.when(b, (F.col(f"__x{i}") - F.col(f"__r{i}")) ** 2).otherwise(0.0) for i, b in enumerate(both)), F.lit(0.0))
-        pairs = asked.crossJoin(ref).where(shared > 0).withColumn("__d", squares * (F.lit(float(p)) / F.nullif(shared, F.lit(0))))
-        near = pairs.withColumn("__rank", F.row_number().over(Window.partitionBy("__id").orderBy("__d", "__ref"))).where(F.col("__rank") <= self.k)
-        filled = []
-        for i in range(p):
-            r = F.col(f"__r{i}")
-            w = F.lit(1.0) if self.weights == "uniform" else 1.0 / F.greatest(F.col("__d"), F.lit(1e-12))
-            total = F.sum(F.when(r.isNotNull(), w))
-            filled.append((F.sum(r * w) / F.when(total > 0, total)).alias(f"__f{i}"))
-        found = near.groupBy("__id").agg(*filled)
-        out = df.join(found, F.col(f"`{self.rid}`") == F.col("__id"), "left")
-        unmatched = F.col("__id").isNull() & lacking
+        asked = df.where(lacking).select(F.col(f"`{self.rid}`").alias("__id"), *(c.alias(f"__x{i}") for i, c in enumerate(x))).distinct()
+        found = _nearest_fills(asked, ref, p, self.k, self.weights)
+        same = F.col(f"`{self.rid}`").eqNullSafe(F.col("__id"))
+        for i, c in enumerate(x):
+            same = same & c.eqNullSafe(F.col(f"__x{i}"))
+        out = df.join(found, same, "left")
+        unmatched = F.col("__found").isNull() & lacking
         wrong = F.raise_error(F.lit("AllMissing: a row shares no observed column with any reference row")).cast("double")
         columns = [F.when(unmatched, wrong).otherwise(F.coalesce(c, F.col(f"__f{i}"))) for i, c in enumerate(x)]
-        return self._put(out, self.cols, columns, self.cols).drop("__id", *(f"__f{i}" for i in range(p)))
+        return self._put(out, self.cols, columns, self.cols).drop("__id", "__found", *(f"__{v}{i}" for v in "xf" for i in range(p)))
 
 
 @dataclass

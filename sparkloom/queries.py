@@ -356,13 +356,13 @@ _imputer("imputer_median", "median", "SELECT quantile_cont(value, 0.5) AS f FROM
 _imputer("imputer_mode", "most_frequent", "SELECT value AS f FROM h WHERE value IS NOT NULL GROUP BY value ORDER BY count(*) DESC, value LIMIT 1")
 _imputer("imputer_constant", "constant", "SELECT -1.0 AS f")
 
-#: Customers that the neighbour queries compare: the feature is quadratic in its reference, which the caller bounds.
+#: Customers that the SQL of the neighbour queries compares; the queries take all.
 KNN_REFERENCE = "c_custkey <= 200"
 
 
 def _knn(name: str, weights: str) -> None:
     def run(spark, d):
-        c = t(spark, d, "customer").where(KNN_REFERENCE)
+        c = t(spark, d, "customer")
         df = c.select("c_custkey", F.when(F.col("c_custkey") % 5 != 0, F.col("c_acctbal")).alias("bal"), F.when((F.col("c_custkey") % 7 != 0) | (F.col("c_custkey") % 5 == 0), F.col("c_nationkey").cast("double")).alias("nation"))
         return rounded(imputers.KnnImputer(3, weights, "c_custkey").fit_transform(df, ["bal", "nation"]), n=5)
 

@@ -142,6 +142,37 @@ def test_imputers(spark):
     assert values(near, "a")[1] == 5.0 and values(near, "b")[2] == 4.0
 
 
+@pytest.mark.parametrize("name", ["imputer_knn", "imputer_knn_distance"])
+def test_knn_of_all_customers(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    got = {r["c_custkey"]: (r["bal"], r["nation"]) for r in queries.QUERIES[name](spark, folder).collect()}
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW customer AS SELECT * FROM '{folder}/customer.parquet'")
+        want = {r[0]: r[1:] for r in db.execute(queries.ORACLES[name].replace(f" WHERE {queries.KNN_REFERENCE}", "")).fetchall()}
+    assert len(want) > 201 and got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=2e-5) for i in want)
+
+
+def test_knn_over_many_blocks(spark):
+    rng = np.random.default_rng(4)
+    n, k = 5000, 4
+    x = rng.integers(0, 12, (n, 3)).astype(float)  # many ties
+    x[rng.random((n, 3)) < 0.04] = np.nan
+    ids = rng.permutation(n)
+    df = spark.createDataFrame([(int(i), *(None if np.isnan(v) else float(v) for v in r)) for i, r in zip(ids, x, strict=True)], "rid long, a double, b double, c double")
+    got = {r["rid"]: r for r in imputers.KnnImputer(k).fit_transform(df.repartition(5), ["a", "b", "c"]).collect()}
+    by_id = x[np.argsort(ids)]
+    for i in np.flatnonzero(np.isnan(by_id).any(axis=1) & ~np.isnan(by_id).all(axis=1)):
+        both = ~np.isnan(by_id[i]) & ~np.isnan(by_id)
+        d = np.where(both, (by_id - by_id[i]) ** 2, 0).sum(axis=1) * (3 / np.maximum(both.sum(axis=1), 1))
+        near = by_id[np.lexsort((np.arange(n), np.where(both.any(axis=1), d, np.inf)))[:k]]
+        for j in np.flatnonzero(np.isnan(by_id[i])):
+            seen = near[~np.isnan(near[:, j]), j]
+            assert got[i]["abc"[j]] == (pytest.approx(seen.mean()) if len(seen) else None)
+    assert len(got) == n
+
+
 def test_selection(spark):
     df = frame(spark, a=[1, 1, 5, 5], b=[1, 2, 1, 2], y=[0, 0, 1, 1])
     assert selection.f_classif(df, ["a", "b"], "y") == [math.inf, 0.0]
