@@ -56,18 +56,19 @@ class Tree:
             todo += [(int(kids[j]), rows[near == j]) for j in range(len(kids)) if (near == j).any()]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first `most` leaves for a query, best first.
+    def visits(self, query: np.ndarray, most: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first `most` leaves for a query, best first, and further ones until their sizes sum to `least`.
 
         A queue holds branches by the inner product of query and centre; the best is opened, its children are
         queued, and so on: a leaf is visited when it is the best of all that is known.
         """
-        queue, found = [(0.0, 0)], []
-        while queue and len(found) < most:
+        queue, found, held = [(0.0, 0)], [], 0
+        while queue and (len(found) < most or held < least):
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if not kids:
                 found.append(int(self.leaf[node]))
+                held += int(sizes[found[-1]]) if least else 0
                 continue
             for score, kid in zip((self.centres[kids] @ query).tolist(), kids, strict=True):
                 heapq.heappush(queue, (-score, kid))
@@ -223,7 +224,8 @@ def nearest_neighbours(vectors: DataFrame, is_query=None, k: int = NEAREST, aim:
 
     vectors: vec_id and embedding (array of numbers). is_query: a condition on vec_id, all rows by default. Nearness
     is the inner product of the vectors as they are, in double precision; ties go to the smaller vec_id; a
-    query's own row is no candidate. visits and recall tell the calibration.
+    query's own row is no candidate. visits and recall tell the calibration; a query whose leaves hold fewer than k
+    candidates visits more, so that it gets k rows wherever there are as many.
 
     The tree has a leaf for LEAF rows, up to MOST_LEAVES, and is fitted to SAMPLE rows, those of the smallest hashes
     of vec_id; every row is filed. Leaves are dealt out in blocks of BLOCK rows, so one that holds very many rows
@@ -251,17 +253,20 @@ def nearest_neighbours(vectors: DataFrame, is_query=None, k: int = NEAREST, aim:
 
     filed = stage(rows.mapInArrow(assign, "vec_id bigint, vec array<double>, leaf int"), "filed")
     visits, recall = calibrate(tree, rows, filed, is_query, k, aim)
+    sizes = sorted((r["leaf"], r["n"]) for r in filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect())  # MOST_LEAVES at most
+    held = np.zeros(tree.n_leaves, dtype=np.int64)
+    held[[leaf for leaf, _ in sizes]] = [n for _, n in sizes]
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                leaves = [tree.visits(q, visits) for q in _rows(batch.column(1))]
+                own = batch.column(2).to_pylist()
+                leaves = [tree.visits(q, visits, held, k + n) for q, n in zip(_rows(batch.column(1)), own, strict=True)]
                 at = pa.array(np.repeat(np.arange(len(leaves)), [len(x) for x in leaves]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(leaves), pa.int32())], ["query_id", "query", "leaf"])
 
-    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"))
+    asked = rows.where(is_query).groupBy("vec_id").agg(F.min("vec").alias("vec"), F.count(F.lit(1)).alias("own"))
     asks = asked.mapInArrow(walk, "query_id bigint, query array<double>, leaf int")
-    sizes = sorted((r["leaf"], r["n"]) for r in filed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect())  # MOST_LEAVES at most
     few = F.broadcast(spark.createDataFrame(_blocks(sizes), "leaf int, first int, blocks int"))
     stored = filed.join(few, "leaf").select((F.col("first") + F.pmod(F.xxhash64("vec_id"), "blocks")).cast("int").alias("block"), "leaf", "vec_id", "vec")
     dealt = asks.join(few, "leaf").select("query_id", "query", "leaf", F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("block"))

@@ -197,6 +197,22 @@ def test_neighbours(spark):
     assert annsearch.nearest_neighbours(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_neighbours_of_small_clusters(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(412, 8))
+    x[:400, 0] += 30
+    x[400:, 1] += 30
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(400, x[400].tolist())] * 15  # one id many times over
+    got = annsearch.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r["query_id"]].append(r["vec_id"])
+    assert {r["visits"] for r in got} == {1} and set(by) == set(range(0, 412, 20))
+    assert all(len(found) == 20 and q not in found for q, found in by.items())
+    few = annsearch.nearest_neighbours(spark.createDataFrame(rows[395:], "vec_id long, embedding array<double>")).groupBy("query_id").count()
+    assert {r["query_id"]: r["count"] for r in few.collect()} == {i: 16 if i == 400 else 20 for i in range(395, 412)}
+
+
 def test_urls(spark):
     html = '<link href="{}" rel=canonical>'
     pages = [
