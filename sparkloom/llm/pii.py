@@ -19,7 +19,14 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE_KINDS = ("email", "ip", "card", "phone")
 
 # Added kinds. An IBAN is confirmed by its check digits; a social security number has none and needs its context.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"
+# A run of whole words of capitals and digits from a possible IBAN on: where in it IBANs stand, ibans() finds out.
+IBAN_RUN = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11})[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?:\x20[A-Z0-9]++(?![a-z]))*+"
+#: Characters of an IBAN by country: they decide between several ends with right check digits.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
+}
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 #: Words that speak for a kind, where they stand near a span.
 CONTEXT = {
@@ -58,6 +65,52 @@ def mod97(value: Column) -> Column:
     return F.length(plain).between(15, 34) & (F.aggregate(turned, F.lit(0), add) == 1)
 
 
+def ibans(text: Column) -> Column:
+    """Spans of the IBANs in text: from the first word of a run that starts one, on after its end, and so forth.
+
+    An IBAN ends with a word. Of several ends with right check digits that of its country's length counts, else the last.
+    """
+    lengths = F.create_map(*(F.lit(x) for n, countries in IBAN_LENGTHS.items() for c in countries.split() for x in (c, n)))
+    none = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string,value:string,score:double>>")
+
+    def iban_from(words: Column, i: Column) -> Column:
+        ends = F.sequence(i, F.least(F.size(words) - 1, i + 30))
+        values = F.transform(ends, lambda j: F.array_join(F.slice(words, i + 1, j - i + 1), " "))
+
+        def pick(right: Column) -> Column:
+            known = F.filter(right, lambda v: F.length(F.replace(v, F.lit(" "), F.lit(""))) == F.try_element_at(lengths, F.substr(v, F.lit(1), F.lit(2))))
+            return F.coalesce(F.get(known, F.lit(0)), F.try_element_at(right, F.lit(-1)))
+
+        return let(F.filter(values, mod97), pick)
+
+    def inside(run: Column) -> Column:
+        def step(words: Column):
+            def add(acc: Column, i: Column) -> Column:
+                word = F.get(words, i)
+                starts = (acc["at"] >= acc["free"]) & word.rlike("^[A-Z]{2}[0-9]{2}")
+
+                def grown(value: Column) -> Column:
+                    end = acc["at"] + F.length(value)
+                    span = F.struct(acc["at"].alias("start"), F.lit(4).alias("order"), end.alias("end"), F.lit("iban").alias("kind"), value.alias("value"), F.lit(1.0).alias("score"))
+                    return F.struct(
+                        (acc["at"] + F.length(word) + 1).alias("at"),
+                        F.coalesce(end, acc["free"]).alias("free"),
+                        F.when(value.isNotNull(), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
+                    )
+
+                return let(F.when(starts, iban_from(words, i)), grown)
+
+            first = F.struct(run["start"].alias("at"), run["start"].alias("free"), none.alias("out"))
+            return F.aggregate(F.sequence(F.lit(0), F.size(words) - 1), first, add)["out"]
+
+        return let(F.split(run["value"], " "), step)
+
+    def scored(s: Column) -> Column:
+        return F.struct(*(s[c].alias(c) for c in ("start", "order", "end", "kind", "value")), _score("iban")(s, text).alias("score"))
+
+    return F.transform(F.flatten(F.transform(spans(text, IBAN_RUN, "iban", 4), inside)), scored)
+
+
 def octets(value: Column) -> Column:
     """Whether all four parts are at most 255, however many leading zeros they have."""
     return F.forall(F.split(value, r"\."), lambda p: F.length(F.ltrim(p, F.lit("0"))).between(0, 3) & (F.substr(F.concat(F.lit("000"), p), F.length(p) + 1, F.lit(3)).cast("int") <= 255))
@@ -89,7 +142,7 @@ def pii_spans(text: Column) -> Column:
         spans(text, CARD, "card", 2, keep=luhn, score=_score("card")),
         F.when(plus, spans(text, PHONE, "phone", 3, keep=lambda m: n_digits(m).between(9, 15), score=_score("phone"))).otherwise(none),
     )
-    added = F.concat(spans(text, IBAN, "iban", 4, keep=mod97, score=_score("iban")), spans(text, SSN, "ssn", 5, score=_score("ssn")))
+    added = F.concat(ibans(text), spans(text, SSN, "ssn", 5, score=_score("ssn")))
     return F.sort_array(F.concat(base, F.filter(added, lambda s: s["score"] >= LEAST)))
 
 

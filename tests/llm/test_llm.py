@@ -125,6 +125,21 @@ def test_pii_against_brute_force(spark):
     assert [r["text"] for r in clean] == ["mail é <EMAIL> or <IP>!", "none", None] and clean[0]["n_chars"] == len(clean[0]["text"])
 
 
+def test_ibans_before_capitals_and_digits(spark):
+    de, gb, no = "DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947"
+    spaced = "DE89 3704 0044 0532 0130 00"
+    cases = [
+        (f"IBAN {de} Thanks", [de]), (f"{gb} 12 May", [gb]), (f"{spaced} BIC COBADEFF", [spaced]), (f"{de} {gb}", [de, gb]), (f"{spaced} {no} {de}.", [spaced, no, de]),
+        (f"REF AB12 {spaced} OK", [spaced]), (f"{de}x {gb}y", []), (f"x{de} {gb}", [gb]), ("DE89370400440532013001 Thanks", []), ("A1 " * 20000 + f"AB12 CD {gb} " + "AB12 " * 3000, [gb]),
+        (f"é𝄞 {de} A {gb} B", [de, gb]), (f"{de} " * 300, [de] * 300), (f"GB82 WEST 1234 5698 7654 32\n{no}", ["GB82 WEST 1234 5698 7654 32", no]),
+    ]
+    rows = {r["doc_id"]: r for r in pii.find_pii(table(spark, [t for t, _ in cases])).collect()}
+    for i, (text, want) in enumerate(cases):
+        found = [s for s in rows[i]["pii"] if s["kind"] == "iban"]
+        assert [s["value"] for s in found] == want and all(text[s["start"] : s["end"]] == s["value"] for s in found), text[:80]
+    assert pii.mask_pii(table(spark, [f"To {de} Thanks"])).first()["text"] == "To <IBAN> Thanks"
+
+
 def test_quality(spark):
     rng = random.Random(6)
     texts = corpus(7, 300) + ["\n".join(rng.choice(["a b c", "x", " ", "##"]) for _ in range(rng.randrange(60))) for _ in range(100)]
