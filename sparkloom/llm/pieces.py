@@ -15,12 +15,12 @@ PIECE_BASE = 0x8CB92BA72F3D8DD7
 
 
 class PieceTokenizer:
-    """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them, with special tokens' strings as ordinary text.
+    """Ids as Tokenizer.encode(text, add_special_tokens=False) gives them.
 
     For files with the common byte-level pre-tokenizer and a BPE model. Its pieces (runs of letters, of numbers or of
     other signs, each with a space before it, blanks, and the endings 's 't 're 've 'm 'll 'd) are found with array
     operations; what class a character has is asked from the pre-tokenizer itself. The ids of a piece don't
-    depend on what is around it.
+    depend on what is around it. Texts that hold the string of an added token, as few do, go through the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -28,6 +28,7 @@ class PieceTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.classes = np.full(0x110000, UNKNOWN, dtype=np.uint8)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow 255
         rest = iter(range(256, 512))
@@ -74,6 +75,20 @@ class PieceTokenizer:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and how many each has."""
+        special = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not special:
+            return self._encode(texts)
+        plain = list(texts)
+        for i in special:
+            plain[i] = ""
+        ids, counts = self._encode(plain)
+        lists = [e.ids for e in self.tokenizer.encode_batch([texts[i] for i in special], add_special_tokens=False)]
+        length = [len(x) for x in lists]
+        ids = np.insert(ids, np.repeat(np.cumsum(counts)[special], length), np.array([i for x in lists for i in x], dtype=np.uint32))
+        counts[special] = length
+        return ids, counts
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = "\0".join([*texts, ""])
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         ends = np.cumsum([len(t) + 1 for t in texts]) - 1

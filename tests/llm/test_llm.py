@@ -295,6 +295,17 @@ def test_pieces_are_exact(tokenizer):
         at += n
 
 
+def test_added_tokens_are_exact():
+    tokenizer = PieceTokenizer(packing.vocabulary())
+    rng = random.Random(9)
+    signs = ["a", "'s", " ", "  ", "\n", "1", "é", "!", "<|endoftext|>", "<|endoftext", "|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(500)] + ["a <|endoftext|> b", "", "<|endoftext|>", "<|endoftext|>"]
+    ids, counts = tokenizer.encode(texts)
+    want = [e.ids for e in tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert tokenizer.encode(["a <|endoftext|> b"])[1].tolist() == [4]
+
+
 def test_packing(spark, tokenizer):
     texts = corpus(11) + ["word " * 9000]
     rows = packing.pack_documents(table(spark, texts)).collect()
