@@ -73,6 +73,23 @@ def parts_for(df: DataFrame, each: int, least: int | None = None) -> int:
     return max(least, min(1_000_000, -(-input_bytes(df) // each)))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores behind those that df has columns of already, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own(df: DataFrame) -> list[Column]:
+    """All columns of df by their exact names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body uses it, also inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -168,6 +168,12 @@ def test_mixing_matches_sql(spark):
     with pytest.MonkeyPatch.context() as patch:  # rates too large to be broadcast
         patch.setattr(mixing, "BROADCAST_STEPS", 0)
         assert mixing.mix_sources(docs).collect() == got
+    odd = docs.selectExpr("if(doc_id % 3 = 0, null, doc_id) as doc_id", "text", "source", "'u' as copy", "5 as __n", "6 as __Part", "7 as `__source`", "8 as `a.b`")
+    mixed = mixing.mix_sources(odd).collect()
+    assert {(r["copy"], r["__n"], r["__Part"], r["__source"], r["a.b"]) for r in mixed} == {("u", 5, 6, 7, 8)} and {r["copy_"] for r in mixed} >= {0, 1}
+    documents = odd.selectExpr("doc_id", "text", "source").toPandas().astype({"doc_id": "Int64"})  # noqa: F841
+    keys = sorted(r["shuffle_key"] for r in mixed)
+    assert keys == sorted(r[-1] for r in duckdb.sql(mixing.OP2_SQL).fetchall()) and len(set(keys[: len(keys) // 2])) > 10
     only = mixing.mix_sources(docs, {"s1": 1.0}, volume=2.0).collect()
     assert {r["source"] for r in only} == {"s1"}
     big = spark.range(20000).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.lit("s").alias("source"))
