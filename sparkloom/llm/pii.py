@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .secrets import digest
-from .shared import let, spans
+from .shared import SPANS, apart_from, around, blocks_of, fresh, let, own, spans
 
 # Fixed patterns of the base kinds, in their order. They find the leftmost non-overlapping matches of the plain
 # patterns in time linear in the text: possessive repeats need no stack, and a match starts only where a run does
@@ -18,7 +19,8 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 BASE_KINDS = ("email", "ip", "card", "phone")
 
-# Added kinds. An IBAN is confirmed by its check digits; a social security number has none and needs its context.
+# Added kinds. An IBAN is confirmed by its check digits, and by context where its length isn't its country's; a social
+# security number and a phone number without country code have no check digits and need their context.
 # A run of whole words of capitals and digits from a possible IBAN on: where in it IBANs stand, ibans() finds out.
 IBAN_RUN = r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11})[A-Z]{2}[0-9]{2}[A-Z0-9]*+(?![a-z])(?:\x20[A-Z0-9]++(?![a-z]))*+"
 #: Characters of an IBAN by country: they decide between several ends with right check digits.
@@ -27,7 +29,8 @@ IBAN_LENGTHS = {
     23: "AE GI IL IQ OM SO TL", 24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
     29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC", 33: "RU",
 }
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
+TEL = r"(?<![0-9A-Za-z+./-])(?:\([0-9]{2,5}\)[\x20-]?|0[0-9]{1,4}[\x20/-]|[0-9]{3}[\x20-])[0-9]{3,4}[\x20-]?[0-9]{3,4}(?![0-9A-Za-z]|[.-][0-9])"
 #: Words that speak for a kind, where they stand near a span.
 CONTEXT = {
     "iban": r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b",
@@ -36,9 +39,12 @@ CONTEXT = {
     "ip": r"(?i)\b(?:ip|host|server|address|adresse)\b",
     "card": r"(?i)\b(?:card|visa|credit|payment|karte|carte|tarjeta)\b",
     "phone": r"(?i)\b(?:phone|call|tel|mobile|fax|telefon)\b",
+    "tel": r"(?i)\b(?:phone|call|tel|mobile|fax|telefon)\b",
 }
 #: Score of a confirmed pattern before context; an added kind stays from LEAST on.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "tel": 0.25}
+#: Score of an IBAN whose length isn't that of its country, before context.
+ODD_IBAN = 0.3
 BONUS, NEAR, LEAST = 0.3, 40, 0.5
 
 
@@ -65,21 +71,25 @@ def mod97(value: Column) -> Column:
     return F.length(plain).between(15, 34) & (F.aggregate(turned, F.lit(0), add) == 1)
 
 
+def usual_length(value: Column) -> Column:
+    """Whether an IBAN has as many characters as those of its country."""
+    lengths = F.create_map(*(F.lit(x) for n, countries in IBAN_LENGTHS.items() for c in countries.split() for x in (c, n)))
+    return F.coalesce(F.length(F.replace(value, F.lit(" "), F.lit(""))) == F.try_element_at(lengths, F.substr(value, F.lit(1), F.lit(2))), F.lit(False))
+
+
 def ibans(text: Column) -> Column:
     """Spans of the IBANs in text: from the first word of a run that starts one, on after its end, and so forth.
 
     An IBAN ends with a word. Of several ends with right check digits that of its country's length counts, else the last.
     """
-    lengths = F.create_map(*(F.lit(x) for n, countries in IBAN_LENGTHS.items() for c in countries.split() for x in (c, n)))
-    none = F.array().cast("array<struct<start:bigint,order:int,end:bigint,kind:string,value:string,score:double>>")
+    none = F.array().cast(SPANS)
 
     def iban_from(words: Column, i: Column) -> Column:
         ends = F.sequence(i, F.least(F.size(words) - 1, i + 30))
         values = F.transform(ends, lambda j: F.array_join(F.slice(words, i + 1, j - i + 1), " "))
 
         def pick(right: Column) -> Column:
-            known = F.filter(right, lambda v: F.length(F.replace(v, F.lit(" "), F.lit(""))) == F.try_element_at(lengths, F.substr(v, F.lit(1), F.lit(2))))
-            return F.coalesce(F.get(known, F.lit(0)), F.try_element_at(right, F.lit(-1)))
+            return F.coalesce(F.get(F.filter(right, usual_length), F.lit(0)), F.try_element_at(right, F.lit(-1)))
 
         return let(F.filter(values, mod97), pick)
 
@@ -105,10 +115,7 @@ def ibans(text: Column) -> Column:
 
         return let(F.split(run["value"], " "), step)
 
-    def scored(s: Column) -> Column:
-        return F.struct(*(s[c].alias(c) for c in ("start", "order", "end", "kind", "value")), _score("iban")(s, text).alias("score"))
-
-    return F.transform(F.flatten(F.transform(spans(text, IBAN_RUN, "iban", 4), inside)), scored)
+    return F.flatten(F.transform(spans(text, IBAN_RUN, "iban", 4), inside))
 
 
 def octets(value: Column) -> Column:
@@ -120,72 +127,107 @@ def n_digits(value: Column) -> Column:
     return F.length(F.regexp_replace(value, "[^0-9]", ""))
 
 
-def _score(kind: str):
-    """PRIOR, raised where a context word stands within NEAR code points before or after the span."""
+def scored(text: Column, found: Column, kind: str) -> Column:
+    """Spans of a kind with their score: PRIOR, raised where a context word stands within NEAR code points before or after."""
 
-    def score(span: Column, text: Column) -> Column:
-        before = F.substr(text, (F.greatest(span["start"] - NEAR, F.lit(0)) + 1).cast("int"), F.least(span["start"], F.lit(NEAR)).cast("int"))
-        after = F.substr(text, (span["end"] + 1).cast("int"), F.lit(NEAR))
-        near = F.concat(before, F.lit(" "), after)
-        return F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT[kind]), F.lit(BONUS)).otherwise(F.lit(0.0)))
+    def score(s: Column, near: Column) -> Column:
+        prior = F.lit(PRIOR[kind]) if kind != "iban" else F.when(usual_length(s["value"]), F.lit(PRIOR[kind])).otherwise(F.lit(ODD_IBAN))
+        total = F.least(F.lit(1.0), prior + F.when(near.rlike(CONTEXT[kind]), F.lit(BONUS)).otherwise(F.lit(0.0)))
+        return F.struct(*(s[c].alias(c) for c in ("start", "order", "end", "kind", "value")), total.alias("score"))
 
-    return score
+    return let(found, lambda some: F.when(F.size(some) > 0, around(text, some, NEAR, score)).otherwise(F.array().cast(SPANS)))
 
 
-def pii_spans(text: Column) -> Column:
-    """All spans of personal data in text, sorted by start, then kind: base kinds, and iban and ssn."""
-    none = F.array()
+def _proposed(text: Column) -> tuple[Column, Column]:
+    """Spans of the base kinds, sorted, and those of iban, ssn and tel that score enough."""
+    none = F.array().cast(SPANS)
     at, dot, plus = (F.contains(text, F.lit(c)) for c in "@.+")
     base = F.concat(
-        F.when(at, spans(text, EMAIL, "email", 0, score=_score("email"))).otherwise(none),
-        F.when(dot, spans(text, IP, "ip", 1, keep=octets, score=_score("ip"))).otherwise(none),
-        spans(text, CARD, "card", 2, keep=luhn, score=_score("card")),
-        F.when(plus, spans(text, PHONE, "phone", 3, keep=lambda m: n_digits(m).between(9, 15), score=_score("phone"))).otherwise(none),
+        F.when(at, scored(text, spans(text, EMAIL, "email", 0), "email")).otherwise(none),
+        F.when(dot, scored(text, spans(text, IP, "ip", 1, keep=octets), "ip")).otherwise(none),
+        scored(text, spans(text, CARD, "card", 2, keep=luhn), "card"),
+        F.when(plus, scored(text, spans(text, PHONE, "phone", 3, keep=lambda m: n_digits(m).between(9, 15)), "phone")).otherwise(none),
     )
-    added = F.concat(ibans(text), spans(text, SSN, "ssn", 5, score=_score("ssn")))
-    return F.sort_array(F.concat(base, F.filter(added, lambda s: s["score"] >= LEAST)))
+    # No word of a national number's context, no such number.
+    tel = F.when(text.rlike(CONTEXT["tel"]), scored(text, spans(text, TEL, "tel", 6, keep=lambda m: n_digits(m).between(7, 12)), "tel")).otherwise(none)
+    added = F.concat(scored(text, ibans(text), "iban"), scored(text, spans(text, SSN, "ssn", 5), "ssn"), tel)
+    return F.sort_array(base), F.filter(added, lambda s: s["score"] >= LEAST)
+
+
+def with_spans(docs: DataFrame, name: str) -> DataFrame:
+    """docs with all spans of personal data in text, sorted by start, then kind, as a column of this (free) name."""
+    # In steps of their own, as expressions can't nest at will.
+    known, more = fresh(docs, "__known", "__more")
+    base, added = _proposed(F.coalesce("text", F.lit("")))
+    both = docs.select(*own(docs), base.alias(known), added.alias(more))
+    return both.select(*own(docs), F.sort_array(F.concat(known, apart_from(F.col(known), F.col(more)))).alias(name))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, text, pii (array of start, order, end, kind, value, score).
 
-    Whole texts are scanned in place, without a shuffle. Base kinds stay whatever their score; iban and ssn stay
-    from a score of LEAST on. A null text counts as empty and has no spans; repeated rows are scanned alike;
-    extra columns are ignored; an empty table gives an empty result.
+    Whole texts are scanned in place, without a shuffle. Base kinds stay whatever their score; iban, ssn and tel (a
+    phone number without country code) stay from a score of LEAST on, where they overlap no base span. A null text
+    counts as empty and has no spans; repeated rows are scanned alike; extra columns are ignored; an empty table
+    gives an empty result.
     """
-    return docs.select("doc_id", "text", let(F.coalesce("text", F.lit("")), pii_spans).alias("pii"))
+    return with_spans(docs.select("doc_id", "text"), "pii")
+
 
+def _reach(ends: Column) -> Column:
+    """For each entry the largest of all up to it; in blocks, so that very many don't take quadratic time."""
 
-def masked(text: Column, found: Column) -> Column:
-    """text with every span replaced by its kind in angle brackets; overlapping spans become one, of the first's kind."""
+    def run(acc: Column, x: Column) -> Column:
+        return let(F.greatest(acc["top"], x), lambda top: F.struct(top.alias("top"), F.concat(acc["out"], F.array(top)).alias("out")))
 
-    def merge(acc: Column, s: Column) -> Column:
-        fresh = F.struct((s["start"]).alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        last = F.element_at(acc, -1)
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return (
-            F.when(F.size(acc) == 0, F.array(fresh))
-            .when(F.try_element_at(acc, F.lit(-1))["end"] > s["start"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown)))
-            .otherwise(F.concat(acc, F.array(fresh)))
-        )
+    def join(acc: Column, b: Column) -> Column:
+        first = F.struct(acc["top"].alias("top"), F.array().cast("array<bigint>").alias("out"))
+        return let(F.aggregate(b, first, run), lambda r: F.struct(r["top"].alias("top"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
 
-    def rebuild(apart: Column) -> Column:
-        def piece(s: Column, i: Column) -> Column:
-            since = F.when(i > 0, F.get(apart, i - 1)["end"]).otherwise(F.lit(0))
-            return F.concat(F.substr(text, (since + 1).cast("int"), (s["start"] - since).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+    none = F.struct(F.lit(0).cast("bigint").alias("top"), F.array().cast("array<array<bigint>>").alias("out"))
+    return F.flatten(F.aggregate(blocks_of(ends, 256), none, join)["out"])
 
-        return F.concat(F.array_join(F.transform(apart, piece), ""), F.substr(text, (F.element_at(apart, -1)["end"] + 1).cast("int")))
 
-    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string>>")
-    return F.when(F.size(found) > 0, let(F.aggregate(found, none, merge), rebuild)).otherwise(text)
+def _places(found: Column, reach: Column) -> Column:
+    """What to mask of sorted spans and the largest ends up to each: (since, start, kind, end), apart from each other.
+
+    Overlapping spans become one, of the first's kind; since is the end of the place before.
+    """
+    since = lambda i: F.when(i > 0, F.get(reach, F.greatest(i - 1, F.lit(0)))).otherwise(F.lit(0))
+    heads = F.filter(F.transform(found, lambda s, i: F.struct(since(i).alias("since"), s["start"].alias("start"), s["kind"].alias("kind"), i.alias("i"))), lambda h: (h["i"] == 0) | (h["since"] <= h["start"]))
+    ended = lambda h: lambda x, j: F.struct(x["since"].alias("since"), x["start"].alias("start"), x["kind"].alias("kind"), F.coalesce(F.get(h, j + 1)["since"], F.element_at(reach, -1)).alias("end"))
+    return let(heads, lambda h: F.transform(h, ended(h)))
+
+
+def _rebuilt(text: Column, places: Column) -> Column:
+    """text with every place replaced by its kind in angle brackets."""
+
+    def block(some: Column) -> Column:
+        begin = F.get(some, F.lit(0))["since"]
+        section = F.substr(text, (begin + 1).cast("int"), (F.element_at(some, -1)["start"] - begin).cast("int"))
+        piece = lambda x: lambda s: F.concat(F.substr(x["section"], (s["since"] - x["begin"] + 1).cast("int"), (s["start"] - s["since"]).cast("int")), F.lit("<"), F.upper(s["kind"]), F.lit(">"))
+        return let(F.struct(begin.alias("begin"), section.alias("section")), lambda x: F.array_join(F.transform(some, piece(x)), ""))
+
+    rest = F.substr(text, (F.element_at(places, -1)["end"] + 1).cast("int"))
+    return F.when(F.size(places) > 0, F.concat(F.array_join(F.transform(blocks_of(places), block), ""), rest)).otherwise(text)
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """docs with the personal data in text masked; all other columns and rows stay (n_chars, if present, is renewed)."""
-    out = docs.withColumn("text", let(let(F.coalesce("text", F.lit("")), pii_spans), lambda s: masked(F.col("text"), s)))
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in docs.columns else out
+    """docs with the personal data in text masked; all other columns and rows stay.
+
+    n_chars, if it is there and a whole number, is renewed with the text; null texts stay null; repeated rows and
+    an empty table give the like.
+    """
+    name, reach, places = fresh(docs, "__pii", "__reach", "__places")
+    found = with_spans(docs, name).withColumn(reach, _reach(F.transform(name, lambda s: s["end"]))).withColumn(places, _places(F.col(name), F.col(reach)))
+    out = found.select(*(_rebuilt(col, F.col(places)).alias(c) if c == "text" else col for c, col in zip(docs.columns, own(docs), strict=True)))
+    if "n_chars" in docs.columns and isinstance(kind := docs.schema["n_chars"].dataType, IntegralType):
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), "n_chars"))
+    return out
 
 
 def op9_query(spark, sf_dir: str) -> DataFrame:
-    """op9: personal data of every document, as counts, hash and list of spans."""
-    return digest(find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "pii", BASE_KINDS)
+    """op9: personal data of every document, as counts, hash, list of spans and their scores."""
+    found = find_pii(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    scores = F.array_join(F.transform("pii", lambda s: F.round(s["score"], 2).cast("string")), ",")
+    return digest(found, "pii", BASE_KINDS, scores.alias("scores"))

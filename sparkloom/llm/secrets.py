@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, listed, number_of, spans
+from .shared import apart_from, let, listed, number_of, spans
 
 #: Fixed patterns of the base kinds, in their order.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -35,13 +35,12 @@ CLASSES = (
 )
 WINDOW = 20
 
-#: Candidates that are never secrets: identifiers in their public form, placeholders, runs of an alphabet, paths of words.
-ALLOWED = (
-    r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
-    r"(?i)example|sample|placeholder|changeme|your[_-]|xxxx|redacted",
-    r"(?i)abcdefgh|12345678|qwertyui",
-    r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[/_+-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[/_+-]*$",
-)
+#: Candidates that are never secrets: identifiers in their public form.
+IDENTIFIER = r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
+#: Placeholders and runs of an alphabet: what stands between two slashes and holds one is left out of a candidate.
+PLACEHOLDER = r"(?i)example|sample|placeholder|changeme|your[_-]|xxxx|redacted|abcdefgh|12345678|qwertyui"
+#: Paths and names of words: every part between these signs is a word or a short number.
+SIGNS, WORD = r"[/_+-]+", r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})?$"
 
 
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
@@ -80,30 +79,34 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
     return F.when(F.length(value) > 0, let(F.split(value, ""), lambda c: over(F.filter(c, lambda x: x != "")))).otherwise(F.lit(0.0))
 
 
-def _is_secret(value: Column) -> Column:
+def allowed(value: Column) -> Column:
+    """Whether value is on the allow-list: an identifier, or a path or name of words."""
+    return value.rlike(IDENTIFIER) | F.forall(F.split(F.rtrim(value, F.lit("=")), SIGNS), lambda part: part.rlike(WORD))
+
+
+def _dense(value: Column) -> Column:
+    """Whether value has a class, isn't allowed, and reaches its class's entropy in some window."""
     bits = F.lit(None).cast("double")
     for c in reversed(CLASSES):
         bits = F.when(value.rlike(c.pattern), F.lit(c.bits)).otherwise(bits)
-    allowed = F.lit(False)
-    for pattern in ALLOWED:
-        allowed = allowed | value.rlike(pattern)
-    return F.when(bits.isNull() | allowed, F.lit(False)).otherwise(window_entropy(value) >= bits)
+    return F.when((F.length(value) < WINDOW) | bits.isNull() | allowed(value), F.lit(False)).otherwise(window_entropy(value) >= bits)
+
+
+def is_secret(value: Column) -> Column:
+    """Whether some stretch of a candidate, between the parts that hold a placeholder, is dense."""
+    parts = F.transform(F.split(value, "/"), lambda p: F.when(p.rlike(PLACEHOLDER), F.lit(" ")).otherwise(p))
+    return F.when(value.rlike(PLACEHOLDER), F.exists(F.split(F.array_join(parts, "/"), " "), _dense)).otherwise(_dense(value))
 
 
 def secret_spans(text: Column) -> Column:
     """All spans of secrets in text, sorted by start, then kind: those of BASE_KINDS and the added kind entropy."""
-    base = F.concat(
+    base = F.sort_array(F.concat(
         spans(text, ASSIGN, "assign", 0, keep=lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= 6),
         F.when(F.contains(text, F.lit("AKIA")), spans(text, ACCESS, "access", 1)).otherwise(F.array()),
         spans(text, HEX, "hex", 2),
-    )
-    added = spans(text, CANDIDATE, "entropy", 3, keep=_is_secret)
-
-    def joined(known: Column, more: Column) -> Column:
-        fresh = F.filter(more, lambda s: ~F.exists(known, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-        return F.sort_array(F.concat(known, fresh))
-
-    return let(base, lambda known: let(added, lambda more: joined(known, more)))
+    ))
+    added = spans(text, CANDIDATE, "entropy", 3, keep=is_secret)
+    return let(base, lambda known: let(added, lambda more: F.sort_array(F.concat(known, apart_from(known, more)))))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
@@ -116,10 +119,10 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", let(F.coalesce("text", F.lit("")), secret_spans).alias("secrets"))
 
 
-def digest(found: DataFrame, column: str, base_kinds: tuple[str, ...]) -> DataFrame:
+def digest(found: DataFrame, column: str, base_kinds: tuple[str, ...], *more: Column) -> DataFrame:
     """Counts of each base kind, a hash of the base spans and all spans as text."""
     base = F.filter(column, lambda s: s["kind"].isin(*base_kinds))
-    return found.select("doc_id", *(number_of(F.col(column), k).alias(f"n_{k}") for k in base_kinds), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col(column)).alias("spans"))
+    return found.select("doc_id", *(number_of(F.col(column), k).alias(f"n_{k}") for k in base_kinds), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col(column)).alias("spans"), *more)
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

@@ -121,14 +121,64 @@ def offsets(lengths: Column) -> Column:
     return let(lengths, split_up)
 
 
-def spans(text: Column, pattern: str, kind: str, order: int, keep=None, score=None) -> Column:
+#: Type of an array of spans.
+SPANS = "array<struct<start:bigint,order:int,end:bigint,kind:string,value:string,score:double>>"
+
+
+def blocks_of(items: Column, size: int = 128) -> Column:
+    """An array cut into arrays of up to `size` items; none for an empty one."""
+    return F.when(F.size(items) == 0, F.slice(F.array(items), 1, 0)).otherwise(
+        F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / size).cast("int")), lambda b: F.slice(items, b * size + 1, F.lit(size)))
+    )
+
+
+def around(text: Column, placed: Column, near: int, value) -> Column:
+    """value(span, what is within `near` code points before and after it) for each of the sorted spans.
+
+    Substrings are counted from the start of their text, so they are taken of sections for some spans each: a long
+    text with very many spans doesn't take quadratic time.
+    """
+
+    def block(some: Column) -> Column:
+        begin = F.greatest(F.get(some, F.lit(0))["start"] - near, F.lit(0))
+        section = F.substr(text, (begin + 1).cast("int"), (F.element_at(some, -1)["end"] + near - begin).cast("int"))
+
+        def each(part: Column) -> Column:
+            def one(s: Column) -> Column:
+                at = s["start"] - part["begin"]
+                before = F.substr(part["section"], (F.greatest(at - near, F.lit(0)) + 1).cast("int"), F.least(at, F.lit(near)).cast("int"))
+                after = F.substr(part["section"], (s["end"] - part["begin"] + 1).cast("int"), F.lit(near))
+                return value(s, F.concat(before, F.lit(" "), after))
+
+            return F.transform(some, one)
+
+        return let(F.struct(begin.alias("begin"), section.alias("section")), each)
+
+    return F.flatten(F.transform(blocks_of(placed), block))
+
+
+def apart_from(known: Column, more: Column) -> Column:
+    """Those of the spans `more` that overlap none of the sorted spans `known`, which are looked through by blocks."""
+
+    def clear(blocks: Column) -> Column:
+        def touches(s: Column):
+            return lambda b: (b["low"] < s["end"]) & (b["high"] > s["start"]) & F.exists(b["items"], lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+
+        return F.filter(more, lambda s: ~F.exists(blocks, touches(s)))
+
+    def bounded(b: Column) -> Column:
+        return F.struct(F.get(b, F.lit(0))["start"].alias("low"), F.array_max(F.transform(b, lambda k: k["end"])).alias("high"), b.alias("items"))
+
+    return F.when((F.size(known) == 0) | (F.size(more) == 0), more).otherwise(let(F.transform(blocks_of(known), bounded), clear))
+
+
+def spans(text: Column, pattern: str, kind: str, order: int, keep=None) -> Column:
     """Array of (start, order, end, kind, value, score): the leftmost non-overlapping matches of pattern in text.
 
-    start and end count code points, end exclusive. keep(value) drops matches, without another try for what they
-    cover. score(span, text) gives each span a score, 1 by default. The pieces between matches come from split()
-    by the same pattern, so match i starts after the pieces and matches before it.
+    start and end count code points, end exclusive; the score is 1. keep(value) drops matches, without another try
+    for what they cover. The pieces between matches come from split() by the same pattern, so match i starts after
+    the pieces and matches before it.
     """
-    out_type = "array<struct<start:bigint,order:int,end:bigint,kind:string,value:string,score:double>>"
 
     def place(found: Column) -> Column:
         gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
@@ -142,12 +192,7 @@ def spans(text: Column, pattern: str, kind: str, order: int, keep=None, score=No
     def kept(placed: Column) -> Column:
         return placed if keep is None else F.filter(placed, lambda s: keep(s["value"]))
 
-    def scored(placed: Column) -> Column:
-        if score is None:
-            return placed
-        return F.transform(placed, lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"), score(s, text).alias("score")))
-
-    return let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.when(F.size(m) > 0, scored(kept(place(m)))).otherwise(F.array().cast(out_type)))
+    return let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.when(F.size(m) > 0, kept(place(m))).otherwise(F.array().cast(SPANS)))
 
 
 def listed(found: Column) -> Column:

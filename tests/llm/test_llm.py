@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -107,6 +108,13 @@ def test_secrets_against_brute_force(spark):
     entropy = "key Zq8fK2mP0sLw7Xc4Vb9N but 123e4567-e89b-12d3-a456-426614174000 and internationalizationofwords1 stay"
     got = secrets.scan_secrets(table(spark, [entropy])).first()["secrets"]
     assert [(s["kind"], s["start"], s["end"]) for s in got] == [("entropy", 4, 24)]
+    key = "Zq8fK2mP0sLw7Xc4Vb9N"
+    cases = [(f"/samples/{key}", 1), (f"your_{key}", 0), (f"{key}example", 0), ("src/main/java/util/Example-12-Test_file", 0), ("a-1-" * 500, 0), ("a-1-" * 100_000, 0), (key * 3000 + " " + f"{key}, " * 3000, 3001)]
+    found = {r["doc_id"]: r["secrets"] for r in secrets.scan_secrets(table(spark, [c[0] for c in cases])).collect()}
+    assert [len(found[i]) for i in range(len(cases))] == [c[1] for c in cases]
+    mixed = f"token={key} {key} " * 1500
+    got = secrets.scan_secrets(table(spark, [mixed])).first()["secrets"]
+    assert [s["kind"] for s in got] == ["assign", "entropy"] * 1500 and all(mixed[s["start"] : s["end"]] == s["value"] for s in got)
     bits = spark.createDataFrame([("aabb" * 5 + "abcdefghij" * 2,)], "v string").select(secrets.window_entropy(F.col("v"))).first()[0]
     assert bits == pytest.approx(np.log2(10))
 
@@ -125,6 +133,32 @@ def test_pii_against_brute_force(spark):
     assert [r["text"] for r in clean] == ["mail é <EMAIL> or <IP>!", "none", None] and clean[0]["n_chars"] == len(clean[0]["text"])
 
 
+def test_context_decides_added_kinds(spark):
+    odd = next(f"QQ{c:02d}123456789012" for c in range(100) if int("".join(str(int(x, 36)) for x in f"123456789012QQ{c:02d}")) % 97 == 1)
+    cases = [("call me: 030 1234567", ["tel"]), ("room 030 1234567", []), (f"bank {odd} ok", ["iban"]), (f"code {odd} ok", []), ("ssn 078-05-1120", ["ssn"]), ("x 078-05-1120", []), ("ssn 000-05-1120", [])]
+    cases += [("tel +49 30 1234567", ["phone"]), ("phone 4111 1111 1111 1111", ["card"])]
+    rows = {r["doc_id"]: r["pii"] for r in pii.find_pii(table(spark, [t for t, _ in cases])).collect()}
+    assert [[s["kind"] for s in rows[i]] for i in range(len(cases))] == [k for _, k in cases]
+    assert rows[7][0]["score"] > pii.PRIOR["phone"]
+    rng = random.Random(15)
+    parts = ["mail ", "a@b.cc", " 1.1.1.1 ", "é", "call ", "030 1234567 ", "+49 30 1234567 ", "x" * 30, "\n", "4111 1111 1111 1111 "]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in (5, 40, 400, 9000)]
+    for r in pii.find_pii(table(spark, texts)).collect():
+        t, near = texts[r["doc_id"]], 40
+        for s in r["pii"]:
+            around = t[max(0, s["start"] - near) : s["start"]] + " " + t[s["end"] : s["end"] + near]
+            want = pii.PRIOR[s["kind"]] + (pii.BONUS if re.search(pii.CONTEXT[s["kind"]], around) else 0)
+            assert t[s["start"] : s["end"]] == s["value"] and s["score"] == pytest.approx(min(1, want))
+    clean = {r["doc_id"]: r["text"] for r in pii.mask_pii(table(spark, texts)).collect()}
+    for r in pii.find_pii(table(spark, texts)).collect():
+        out, at = [], 0
+        for s in r["pii"]:
+            if s["start"] >= at:
+                out += [texts[r["doc_id"]][at : s["start"]], f"<{s['kind'].upper()}>"]
+            at = max(at, s["end"])
+        assert clean[r["doc_id"]] == "".join(out) + texts[r["doc_id"]][at:]
+
+
 def test_ibans_before_capitals_and_digits(spark):
     de, gb, no = "DE89370400440532013000", "GB82WEST12345698765432", "NO9386011117947"
     spaced = "DE89 3704 0044 0532 0130 00"
