@@ -1,17 +1,29 @@
-"""Quality rules as weak supervision (operator 8, SQL only): rules vote or abstain, EM weighs them, a posterior decides."""
+"""Quality rules as weak supervision (operator 8, SQL only): rules vote or abstain, EM weighs them, a posterior decides.
+
+A document is good or junk of some kind. Each rule names a kind of junk, as what it votes junk; how the other rules vote
+on it, and how often each rule calls good documents junk, is estimated. So junk that trips one rule alone is told
+from a careless rule by what all others say, and rare kinds of junk aren't lost to the frequent ones.
+"""
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import let, stage
+from .shared import fresh, let, own, stage
 
 SYMBOLS = "#*$%&|<>"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+# Frequent words of English, German, French and Spanish.
+STOP_WORDS = (
+    "the of and to in a is that for with "
+    "der die und das den von zu mit ist ein "
+    "de la le les des et un une que en "
+    "el los y por con del se las para es"
+).split()
 
 
 def _count(text: Column, characters: str) -> Column:
@@ -60,6 +72,7 @@ def measures(text: Column) -> Column:
             values = {
                 "n_words": F.size(w), "word_chars": F.length(F.array_join(w, "")), "n_symbols": _count(text, SYMBOLS), "n_dup_lines": of["n_dup_lines"],
                 "n_repeat_words": repeat_words(w), "n_lines": of["n_lines"], "n_bangs": _count(text, "!"), "n_distinct": F.size(F.array_distinct(w)),
+                "n_stops": F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))), "ends": F.right(F.rtrim(text, F.lit(" \t\n\x0b\f\r")), F.lit(2)).rlike(r"[.!?][\"')]?$").cast("int"),
             }
             return F.struct(*(v.cast("bigint").alias(k) for k, v in values.items()))
 
@@ -70,111 +83,121 @@ def measures(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """Votes -1 (junk) where bad holds, else 1 (fine) where good holds, else abstains; both are SQL over the measures.
-
-    trust: how many times as likely a junk vote is in junk as in good documents, at least. Kinds of junk exclude
-    each other, and without a floor EM would explain all but the most frequent kind by careless rules.
-    """
+    """Votes -1 (junk) where bad holds, else 1 (fine) where good holds, else abstains; both are SQL over the measures."""
 
     name: str
     bad: str
-    good: str = "false"
-    trust: float = 1.0
+    good: str
 
 
-#: The production rules. Ratios are compared by products, as texts may have no words. Rules that look for one kind
-#: of junk abstain without it: its absence is little evidence, and many such votes would drown the one that found some.
+#: The production rules. Ratios are compared by products, as texts may have no words.
 RULES = (
     Rule("length", "n_words < 20", "n_words >= 100"),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
-    Rule("symbols", "10 * n_symbols > n_words", trust=1000.0),
-    Rule("lines", "2 * n_dup_lines > n_lines", trust=10.0),
-    Rule("repetition", "10 * n_repeat_words > 3 * n_words", trust=1000.0),
-    Rule("exclamation", "5 * n_bangs > n_words", trust=100.0),
-    Rule("variety", "10 * n_distinct < n_words and n_words < 2000", trust=30.0),
+    Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 8 * n_words"),
+    Rule("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
+    Rule("stop_words", "50 * n_stops < n_words", "12 * n_stops >= n_words"),
+    Rule("lines", "2 * n_dup_lines > n_lines", "n_dup_lines = 0"),
+    Rule("repetition", "10 * n_repeat_words > 3 * n_words", "10 * n_repeat_words <= n_words"),
+    Rule("exclamation", "5 * n_bangs > n_words", "50 * n_bangs <= n_words"),
+    Rule("variety", "10 * n_distinct < n_words and n_words < 2000", "10 * n_distinct >= 3 * n_words"),
+    Rule("ending", "ends = 0", "ends = 1"),
 )
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 
-#: What is expected before any data: share of good documents, and how votes fall, as (junk, abstain, fine), with the
-#: weight of this in documents. It fixes which of the two classes is the good one.
+#: What is expected before any data: share of good documents, and how votes fall as (junk, abstain, fine) in good
+#: documents and in junk that another rule names. They count as much as PRIOR_WEIGHT documents a class, and say which way is up.
 PRIOR_GOOD = 0.85
-PRIOR_VOTES = {True: (0.001, 0.249, 0.75), False: (0.3, 0.2, 0.5)}
-PRIOR_VOTES_ONE_SIDED = {True: (0.001, 0.998, 0.001), False: (0.3, 0.699, 0.001)}  # of rules that never vote fine
-PRIOR_WEIGHT = 50.0
-ROUNDS = 200
+PRIOR_FINE, PRIOR_JUNK = (0.1, 0.3, 0.6), (0.25, 0.35, 0.4)
+PRIOR_WEIGHT = 2.0
+ROUNDS = 300
 KEEP_FROM = 0.5
 
 
 @dataclass(frozen=True)
 class LabelModel:
-    """Share of good documents and, by rule, the chances of votes (-1, 0, 1) in good and in junk documents."""
+    """Share of each class (good, then a kind of junk for each rule) and, by class and rule, the chances of votes -1, 0, 1."""
 
-    good: float
-    chances: tuple[tuple[tuple[float, float, float], tuple[float, float, float]], ...]
+    shares: np.ndarray
+    chances: np.ndarray
 
-    def posterior(self, votes: list[Column]) -> Column:
-        """Probability that a document with these votes is good."""
-        odds = F.lit(math.log(self.good / (1 - self.good)))
-        for vote, (fine, junk) in zip(votes, self.chances, strict=True):
-            weight = [math.log(a / b) for a, b in zip(fine, junk, strict=True)]
-            odds = odds + F.when(vote == -1, F.lit(weight[0])).when(vote == 1, F.lit(weight[2])).otherwise(F.lit(weight[1]))
-        return 1 / (1 + F.exp(-odds))
+    def logs(self, votes: np.ndarray) -> np.ndarray:
+        """Log-likelihood of each class (row) for rows of votes."""
+        with np.errstate(divide="ignore"):
+            shares, chances = np.log(self.shares), np.log(self.chances)
+        return shares[:, None] + sum(chances[:, r, votes[:, r] + 1] for r in range(votes.shape[1]))
 
+    def posteriors(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of each class (row) for rows of votes."""
+        logs = self.logs(votes)
+        weights = np.exp(logs - logs.max(axis=0))
+        return weights / weights.sum(axis=0)
 
-def fit_votes(patterns: dict[tuple[int, ...], int], rules: tuple[Rule, ...] = RULES, rounds: int = ROUNDS) -> LabelModel:
-    """Expectation-maximisation of the two-class vote model over counts of vote patterns, at most 3 to the number of rules."""
-    n_rules = len(rules)
-    priors = [PRIOR_VOTES_ONE_SIDED if r.good == "false" else PRIOR_VOTES for r in rules]
-    good, chances = PRIOR_GOOD, tuple((p[True], p[False]) for p in priors)
-    for _ in range(rounds):
-        mass = [PRIOR_WEIGHT * PRIOR_GOOD, PRIOR_WEIGHT * (1 - PRIOR_GOOD)]
-        seen = [[[PRIOR_WEIGHT * p for p in prior[c]] for c in (True, False)] for prior in priors]
-        for votes, n in sorted(patterns.items()):
-            odds = math.log(good / (1 - good)) + sum(math.log(chances[r][0][v + 1] / chances[r][1][v + 1]) for r, v in enumerate(votes))
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
-            for c, share in ((0, p * n), (1, (1 - p) * n)):
-                mass[c] += share
-                for r, v in enumerate(votes):
-                    seen[r][c][v + 1] += share
-        now = mass[0] / sum(mass)
-        for r, rule in enumerate(rules):  # a junk vote keeps its least weight
-            fine, junk = seen[r]
-            over = fine[0] - sum(fine) * junk[0] / sum(junk) / rule.trust
-            if over > 0:
-                fine[0], fine[1] = fine[0] - over, fine[1] + over
-        new = tuple(tuple(tuple(max(x, 1e-6) / sum(row) for x in row) for row in seen[r]) for r in range(n_rules))
-        moved = max([abs(now - good), *(abs(a - b) for x, y in zip(new, chances, strict=True) for u, v in zip(x, y, strict=True) for a, b in zip(u, v, strict=True))])
-        good, chances = now, new
-        if moved < 1e-9:
-            break
-    return LabelModel(good, chances)
+    def posterior(self, votes: Column) -> Column:
+        """Probability that a document with this array of votes is good."""
 
+        def log_of(c: int) -> Column:
+            out = F.lit(float(np.log(self.shares[c])))
+            for r in range(self.chances.shape[1]):
+                junk, none, fine = (float(x) for x in np.log(np.maximum(self.chances[c, r], 1e-300)))
+                vote = F.get(votes, F.lit(r))
+                out = out + F.when(vote == -1, F.lit(junk)).when(vote == 1, F.lit(fine)).otherwise(F.lit(none))
+            return out
 
-def _judged(m: DataFrame, fields: list[str], rules: tuple[Rule, ...], model: LabelModel, keep_from: float) -> tuple[list[Column], Column, Column, Column]:
-    """Votes, base_failed, quality and kept as expressions over a struct column __m of measures."""
-    votes = _votes(rules, fields)
-    failed, quality = F.coalesce(_on(BASE_FAILED, fields), F.lit(True)), model.posterior(votes)
-    return votes, failed, quality, ~failed & (quality >= keep_from)
+        def share(logs: Column) -> Column:
+            return 1 / F.aggregate(logs, F.lit(0.0), lambda acc, x: acc + F.exp(F.least(x - F.get(logs, F.lit(0)), F.lit(700.0))))
 
+        return let(F.array(*(log_of(c) for c in range(len(self.shares)))), share)
 
-def _on(sql: str, fields: list[str]) -> Column:
-    """SQL over measures, by their path: documents may have columns of the same names."""
-    return F.expr(" ".join(f"__m.{w}" if w in fields else w for w in sql.split(" ")))
 
+def fit_votes(patterns: dict[tuple[int, ...], int], n_rules: int, rounds: int = ROUNDS) -> LabelModel:
+    """Expectation-maximisation over counts of vote patterns, at most 3 to the number of rules.
 
-def _votes(rules: tuple[Rule, ...], fields: list[str]) -> list[Column]:
-    return [F.when(_on(r.bad, fields), -1).when(_on(r.good, fields), 1).otherwise(0) for r in rules]
+    The kind of junk of a rule has its junk vote by definition (its anchor); all else is free.
+    """
+    prior = np.empty((n_rules + 1, n_rules, 3))
+    prior[0], prior[1:] = PRIOR_FINE, PRIOR_JUNK
+    kinds = np.arange(n_rules)
+    prior[kinds + 1, kinds] = (1.0, 0.0, 0.0)
+    shares = np.array([PRIOR_GOOD] + [(1 - PRIOR_GOOD) / n_rules] * n_rules)
+    model = LabelModel(shares, prior)
+    if not patterns:
+        return model
+    votes = np.array(sorted(patterns))
+    counts = np.array([patterns[tuple(v)] for v in votes.tolist()], dtype=float)
+    weight = PRIOR_WEIGHT * n_rules
+    for _ in range(rounds):
+        mass = model.posteriors(votes) * counts
+        now = (mass.sum(axis=1) + weight * shares) / (counts.sum() + weight)
+        seen = np.stack([np.stack([mass[:, votes[:, r] == v].sum(axis=1) for v in (-1, 0, 1)], axis=1) for r in range(n_rules)], axis=1) + PRIOR_WEIGHT * prior
+        new = seen / seen.sum(axis=2, keepdims=True)
+        new[kinds + 1, kinds] = prior[kinds + 1, kinds]
+        moved = max(np.abs(now - model.shares).max(), np.abs(new - model.chances).max())
+        model = LabelModel(now, new)
+        if moved < 1e-9:
+            break
+    return model
 
 
-def _measured(docs: DataFrame) -> Column:
-    return let(F.coalesce("text", F.lit("")), measures).alias("__m")
+def _on(sql: str, m: str, fields: list[str]) -> Column:
+    """SQL over measures, by their path in the struct column m: documents may have columns of the same names."""
+    return F.expr(" ".join(f"`{m}`.{w}" if w in fields else w for w in sql.split(" ")))
 
 
-def _fitted(m: DataFrame, rules: tuple[Rule, ...]) -> tuple[list[str], LabelModel]:
-    """Names of the measures, and the model fitted to the counts of vote patterns of all rows."""
-    fields = [f.name for f in m.schema["__m"].dataType.fields]
-    tally = m.select(F.array(*_votes(rules, fields)).alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
-    return fields, fit_votes({tuple(r["votes"]): r["n"] for r in tally.collect()}, rules)
+def _measured(docs: DataFrame, *columns: Column) -> tuple[DataFrame, str, list[str]]:
+    """A staged table of these columns and the measures of text as a struct; its name and fields."""
+    (name,) = fresh(docs, "__m")
+    m = stage(docs.select(*columns, let(F.coalesce("text", F.lit("")), measures).alias(name)), "measures")
+    return m, name, [f.name for f in m.schema[name].dataType.fields]
+
+
+def _judge(m: DataFrame, name: str, fields: list[str], rules: tuple[Rule, ...], keep_from: float) -> tuple[Column, Column, Column, Column]:
+    """Votes, base_failed, quality and kept as expressions, by a model fitted to the vote patterns of all rows."""
+    votes = F.array(*(F.when(_on(r.bad, name, fields), -1).when(_on(r.good, name, fields), 1).otherwise(0) for r in rules))
+    tally = m.select(votes.alias("votes")).groupBy("votes").agg(F.count(F.lit(1)).alias("n"))
+    model = fit_votes({tuple(r["votes"]): r["n"] for r in tally.collect()}, len(rules))
+    failed = F.coalesce(_on(BASE_FAILED, name, fields), F.lit(True))
+    quality = let(votes, model.posterior)
+    return votes, failed, quality, ~failed & (quality >= keep_from)
 
 
 def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -185,22 +208,20 @@ def score_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_from: f
     words, and like every text under 50 words fails; repeated rows are judged alike; extra columns are ignored; an
     empty table gives an empty result.
     """
-    m = stage(docs.select("doc_id", _measured(docs)), "measures")
-    fields, model = _fitted(m, rules)
-    votes, failed, quality, kept = _judged(m, fields, rules, model, keep_from)
-    return m.select("doc_id", "__m.*", F.array(*votes).alias("votes"), failed.alias("base_failed"), quality.alias("quality"), kept.alias("kept"))
+    m, name, fields = _measured(docs, F.col("doc_id"))
+    votes, failed, quality, kept = _judge(m, name, fields, rules, keep_from)
+    return m.select("doc_id", f"`{name}`.*", votes.alias("votes"), failed.alias("base_failed"), quality.alias("quality"), kept.alias("kept"))
 
 
 def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, keep_from: float = KEEP_FROM) -> DataFrame:
     """The documents that score_quality keeps, with their own columns.
 
-    The model is fitted in a first pass; a second one takes the measures again and filters in place, which costs less
-    than to store or shuffle the texts.
+    Documents are written to the shared folder with their measures, which take far longer to find than to store: the
+    model is fitted to these alone, and the verdict filters the written rows in place. Nulls, repeated rows and
+    empty tables are as in score_quality; columns of any name are carried.
     """
-    fields, model = _fitted(docs.select(_measured(docs)), rules)
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    m = docs.select(*own, _measured(docs))
-    return m.where(_judged(m, fields, rules, model, keep_from)[3]).select(*own)
+    m, name, fields = _measured(docs, *own(docs))
+    return m.where(_judge(m, name, fields, rules, keep_from)[3]).select(*own(docs))
 
 
 def op8_query(spark, sf_dir: str) -> DataFrame:
