@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .shared import parts_for, stage, unstage
+from .components import connected_components, hub_join
+from .shared import fresh, own, parts_for, stage, unstage
 from .words import mix, normal, range_hashes, words_of, WORD_BASE
 
 #: Words of an n-gram, and the least similarity, in fifths.
@@ -30,8 +30,8 @@ BANDS, ROWS = 32, 5
 VALUES = BANDS * ROWS
 #: Posterior probability under which a pair is dropped, and values compared at a time.
 TOLERANCE, STEP = 1e-6, 32
-#: Candidates of a band, and documents of a cluster, that one task compares.
-BAND_BLOCK, CLUSTER_BLOCK = 8192, 1024
+#: Candidates of a band, documents of a cluster, and n-grams of a cluster, that one task compares.
+BAND_BLOCK, CLUSTER_BLOCK, GRAM_BLOCK = 8192, 1024, 4_000_000
 #: Groups up to this size are compared pair by pair, many groups at a time.
 SMALL = 24
 #: Bytes of words hashed at a time.
@@ -73,7 +73,7 @@ def ngrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """16 bits of each of the VALUES MinHash values of each text (row), for texts that have words, and which these are."""
+    """16 bits of each of the VALUES MinHash values of each text (row), for texts that have words, and n-grams of each text."""
     grams, begin = ngrams(texts)
     full = np.flatnonzero(np.diff(begin))
     out = np.empty((len(full), VALUES), dtype=np.uint16)
@@ -82,7 +82,7 @@ def signatures(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for k in range(VALUES):
             np.multiply(grams, MULTIPLIERS[k], out=product)
             out[:, k] = (mix(np.minimum.reduceat(product, begin[full])) >> np.uint64(48)).astype(np.uint16)
-    return out, full
+    return out, np.diff(begin)
 
 
 def _chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
@@ -104,20 +104,28 @@ def _digest(text: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
+SIGNED = "doc_id bigint, raw string, d1 bigint, d2 bigint, size bigint, sig binary"
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to SIGNED for texts that have words: digests of the text as it is and of its words, n-grams, MinHash."""
+
     def rows() -> Iterator[tuple]:
         for batch in batches:
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if text := normal(text):
-                    yield i, text
+                if words := normal(text):
+                    yield i, words, hashlib.md5(text, usedforsecurity=False).hexdigest()
 
     for chunk in _chunks(rows()):
-        sig, _ = signatures([t for _, t in chunk])
-        digests = [_digest(t) for _, t in chunk]
+        sig, sizes = signatures([t for _, t, _ in chunk])
+        digests = [_digest(t) for _, t, _ in chunk]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([c[0] for c in chunk], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.tobytes() for s in sig], pa.binary())],
-            ["doc_id", "d1", "d2", "sig"],
-        )
+            [
+                pa.array([c[0] for c in chunk], pa.int64()), pa.array([c[2] for c in chunk]), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()),
+                pa.array(sizes), pa.array([s.tobytes() for s in sig], pa.binary()),
+            ],
+            ["doc_id", "raw", "d1", "d2", "size", "sig"],
+        )
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,16 +263,14 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(component, n, d1, d2, copies, node, text) to the same with the set of n-grams for the text, for rows of the wanted text."""
+    """(component, n, grams, copies, node, text) to the same with the set of n-grams for the text."""
     for batch in batches:
-        texts = [normal(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-        wanted = [i for i, (t, a, b) in enumerate(zip(texts, batch.column("d1").to_pylist(), batch.column("d2").to_pylist(), strict=True)) if t and _digest(t) == (a, b)]
-        for some in _chunks((i, texts[i]) for i in wanted):
-            rows = [i for i, _ in some]
+        texts = [normal(t) for t in batch.column(5).cast(pa.binary()).to_pylist()]
+        for some in _chunks(enumerate(texts)):
             grams, begin = ngrams([t for _, t in some])
             sets = [np.unique(grams[s:e]).tobytes() for s, e in zip(begin[:-1], begin[1:], strict=True)]
-            part = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([part.column("component"), part.column("n"), part.column("copies"), part.column("node"), pa.array(sets, pa.binary())], ["component", "n", "copies", "node", "grams"])
+            part = batch.slice(some[0][0], len(some))
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(sets, pa.binary())], ["component", "n", "grams", "copies", "node", "set"])
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -299,7 +305,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(component, tile, side, copies, node, grams), sorted by component and tile, to rows (a, b, links).
+    """(component, tile, side, copies, node, set), sorted by component and tile, to rows (a, b, links).
 
     Without b: how many documents a is linked to here, copies included; with b: a spanning edge. In a tile of two
     sides only pairs across count.
@@ -340,84 +346,118 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links + [0] * len(forest.edges), pa.int64())], ["a", "b", "links"])
 
 
-def _tiled(df: DataFrame, size: str, item: str, block: int) -> DataFrame:
-    """Deal groups of more than `block` rows into blocks, and rows to a tile for each pair of their block with another.
+def _tiled(df: DataFrame, blocks, item: str) -> DataFrame:
+    """Deal groups that need several blocks into them, and rows to a tile for each pair of their block with another.
 
     Adds tile and side (the row's block). A group of one block has the one tile 0.
     """
-    blocks = F.ceil(F.col(size) / block).cast("bigint")
-    own = F.pmod(F.xxhash64(item), F.col("__blocks"))
-    df = df.withColumn("__blocks", blocks).withColumn("side", own.cast("bigint"))
+    own_block = F.pmod(F.xxhash64(item), F.col("__blocks"))
+    df = df.withColumn("__blocks", blocks.cast("bigint")).withColumn("side", own_block.cast("bigint"))
     df = df.withColumn("__other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__blocks") - 1)))
     return df.withColumn("tile", F.least("side", "__other") * F.col("__blocks") + F.greatest("side", "__other")).drop("__blocks", "__other")
 
 
-def link_documents(docs: DataFrame, used: list[DataFrame] | None = None) -> DataFrame:
-    """Near copies by Jaccard similarity of 0.8 or more on sets of five-word n-grams: doc_id, class_id, n_links.
+def _row():
+    """A row of the documents: its doc_id, null last, and the digest of its text."""
+    return F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "raw")
 
-    Words are what stands between spaces and characters 9 to 13, unchanged; texts of one to four words have one
-    n-gram. class_id is the smallest doc_id that the document is connected to through links; n_links counts the
-    other documents it is linked to, exact copies included. Links between different texts are all verified and
-    counted; one may be missed with the chance that all bands differ or the pruning errs, about 1e-5 at the
-    threshold and vanishing above.
 
-    Documents without words, null texts among them, are linked to nothing; rows without doc_id are left out;
-    repeated rows count as copies, one row of the result each; extra columns are ignored; an empty table gives an
-    empty result. used: gets the tables staged here that the result still reads.
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(doc_id, raw, d1, d2) of documents with words; class of each distinct text (d1, d2, copies, first, links); staged tables these read.
+
+    first is the least row of the class. Texts are known by numbers of their own, not by doc_id, which may be
+    missing or stand for several texts.
     """
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = parts_for(docs, 16_000_000)
-    signed = stage(docs.mapInArrow(_sign, "doc_id bigint, d1 bigint, d2 bigint, sig binary"), "signed")
-    reps = stage(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("sig").alias("sig")), "reps")
+    signed = stage(docs.mapInArrow(_sign, SIGNED), "signed")
+    distinct = signed.groupBy("d1", "d2").agg(F.min(_row()).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), F.max("sig").alias("sig"))
+    reps = stage(distinct.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    n_reps = reps.count()
 
     entries = reps.select("rep", "sig").mapInArrow(_bands, "key bigint, rep bigint")
     several = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = _tiled(hub_join(entries, several, ["key"], "n", BANDS * n_reps), F.ceil(F.col("n") / BAND_BLOCK), "rep")
     # A document is in most bands of its neighbours: what it sends along is its signature, not its text.
-    tiles = _tiled(entries.join(several, "key"), "n", "rep", BAND_BLOCK).join(reps.select("rep", "sig"), "rep").select("key", "tile", "rep", "sig")
+    tiles = dealt.join(reps.select("rep", "sig"), "rep").select("key", "tile", "rep", "sig")
     edges = tiles.repartition(n, "key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_candidates, "a bigint, b bigint")
     clusters = connected_components(edges)
-    empty = docs.sparkSession.createDataFrame([], "a bigint, b bigint, links bigint")
-    found = empty if clusters is None else stage(_verified(docs, reps, clusters, n), "links")
-    if used is not None:
-        used += [signed, reps, *([found] if clusters is not None else [])]
-
+    used = [signed, reps]
+    found = docs.sparkSession.createDataFrame([], "a bigint, b bigint, links bigint")
+    if clusters is not None:
+        found = stage(_verified(docs, reps, clusters, n, n_reps), "links")
+        used += [found, clusters]
     classes = connected_components(found.select("a", "b"))
     links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    of_rep = reps.select("d1", "d2", "rep", "copies").join(links, "rep", "left")
-    if classes is not None:
-        of_rep = of_rep.join(classes.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    else:
-        of_rep = of_rep.withColumn("component", F.lit(None).cast("bigint"))
-    of_rep = of_rep.select("d1", "d2", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = signed.select("doc_id", "d1", "d2").join(of_rep, ["d1", "d2"]).select("doc_id", "class_id", "n_links")
-    blank = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
+    of_rep = reps.select("d1", "d2", "rep", "copies", "first").join(links, "rep", "left").withColumn("links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1)
+    if classes is None:
+        return signed, of_rep.drop("rep"), used
+    used.append(classes)
+    named = of_rep.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).drop("rep")
+    first = named.groupBy("component").agg(F.min("first").alias("of_class"), F.count(F.lit(1)).alias("n"))
+    of_rep = hub_join(named, first, ["component"], "n", n_reps)
+    return signed, of_rep.select("d1", "d2", "copies", F.col("of_class").alias("first"), "links"), used
+
+
+def link_documents(docs: DataFrame) -> DataFrame:
+    """Near copies by Jaccard similarity of 0.8 or more on sets of five-word n-grams: doc_id, class_id, n_links.
+
+    Words are what stands between spaces and characters 9 to 13, unchanged; texts of one to four words have one
+    n-gram. class_id is the smallest doc_id that the document is connected to through links; n_links counts the
+    other documents it is linked to, exact copies included. Links between different texts are all verified and
+    counted; one may be missed with the chance that all bands differ or the pruning errs, about 1e-5 at the
+    threshold and vanishing above.
+
+    Documents without words, null texts among them, are linked to nothing. Every row gives a row: those without
+    doc_id (their class_id is null where no member has one), repeated rows, which count as copies, and different
+    texts of one doc_id, each in its own class. Extra columns are ignored; an empty table gives an empty result.
+    """
+    signed, of_rep, _ = _linked(docs)
+    named = of_rep.select("d1", "d2", "copies", F.col("first.doc_id").alias("class_id"), F.col("links").alias("n_links"))
+    linked = hub_join(signed.select("doc_id", "d1", "d2"), named, ["d1", "d2"], "copies", signed.count()).select("doc_id", "class_id", "n_links")
+    blank = docs.where(_blank(docs)).select(F.col("doc_id").cast("bigint"), F.col("doc_id").cast("bigint").alias("class_id"), F.lit(0).cast("bigint").alias("n_links"))
     return linked.unionByName(blank)
 
 
-def _verified(docs: DataFrame, reps: DataFrame, clusters: DataFrame, n: int) -> DataFrame:
-    members = clusters.join(clusters.groupBy("component").agg(F.count(F.lit(1)).alias("n")), "component")
-    members = members.join(reps.select(F.col("rep").alias("node"), "d1", "d2", "copies"), "node")
-    wanted = docs.join(members, F.col("doc_id") == F.col("node")).select("component", "n", "d1", "d2", "copies", "node", "text")
-    sets = wanted.mapInArrow(_sets, "component bigint, n bigint, copies bigint, node bigint, grams binary")
-    tiles = _tiled(sets, "n", "node", CLUSTER_BLOCK).select("component", "tile", "side", "copies", "node", "grams")
+def _blank(docs: DataFrame):
+    return ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+
+
+def _verified(docs: DataFrame, reps: DataFrame, clusters: DataFrame, n: int, n_reps: int) -> DataFrame:
+    nodes = clusters.join(reps.select(F.col("rep").alias("node"), "first", "copies", "size"), "node")
+    sums = nodes.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams"))
+    members = hub_join(nodes, sums, ["component"], "n", n_reps)
+    # One row of the documents for each distinct text, whatever stands for it.
+    texts = docs.select(F.col("doc_id").alias("id"), F.md5(F.col("text").cast("binary")).alias("raw"), "text").where(~_blank(docs))
+    at = members.select("component", "n", "grams", "copies", "node", F.col("first.doc_id").alias("id"), F.col("first.raw").alias("raw"))
+    wanted = texts.join(at, texts["id"].eqNullSafe(at["id"]) & (texts["raw"] == at["raw"])).select("component", "n", "grams", "copies", "node", "text")
+    sets = wanted.mapInArrow(_sets, "component bigint, n bigint, grams bigint, copies bigint, node bigint, set binary")
+    blocks = F.greatest(F.ceil(F.col("n") / CLUSTER_BLOCK), F.ceil(F.col("grams") / GRAM_BLOCK))
+    tiles = _tiled(sets, blocks, "node").select("component", "tile", "side", "copies", "node", "set")
     return tiles.repartition(n, "component", "tile").sortWithinPartitions("component", "tile").mapInArrow(_verify, "a bigint, b bigint, links bigint")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each class the document with the smallest doc_id stays, with all its columns.
+    """docs without near copies: of each class the row with the smallest doc_id stays, with all its columns.
 
-    Documents without words stay. Repeated rows of one doc_id leave one row; rows without doc_id go, as they can't
-    be told apart.
+    Documents without words stay, all of them. A row without doc_id stays where its class has none with one; of rows
+    alike in doc_id and text one stays; different texts of one doc_id are judged apart. Columns of any name are
+    carried; an empty table gives an empty result.
     """
-    used: list[DataFrame] = []
-    linked = stage(link_documents(docs, used), "classes")
+    signed, of_rep, used = _linked(docs)
+    firsts = of_rep.select("first").distinct().select("first.doc_id", "first.raw")
+    kept = stage(firsts, "kept")
+    rows_of = signed.select("doc_id", "raw").join(kept.select(F.col("doc_id").alias("id"), F.col("raw").alias("r")), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("raw") == F.col("r")), "left_semi")
+    repeated = rows_of.count() > kept.count()
     for table in used:
         unstage(table)
-    first = linked.where("doc_id = class_id").select(F.col("doc_id").alias("__id"), "class_id")
-    out = docs.join(first.select("__id").distinct(), F.col("doc_id") == F.col("__id"), "left_semi")
-    if first.groupBy("__id").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id"])
-    return out
+    key, text, blank = fresh(docs, "__id", "__raw", "__blank")
+    known = docs.select(*own(docs), F.col("doc_id").cast("bigint").alias(key), F.md5(F.col("text").cast("binary")).alias(text), _blank(docs).alias(blank))
+    right = kept.select(F.col("doc_id").alias("__kept_id"), F.col("raw").alias("__kept_raw"))
+    full = known.where(~F.col(blank)).join(right, F.col(key).eqNullSafe(F.col("__kept_id")) & (F.col(text) == F.col("__kept_raw")), "left_semi")
+    if repeated:
+        full = full.dropDuplicates([key, text])
+    return full.unionByName(known.where(F.col(blank))).select(*own(docs))
 
 
 def op7_query(spark, sf_dir: str) -> DataFrame:

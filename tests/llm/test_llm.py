@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import annsearch, licenses, mixing, nearcopies, packing, pii, quality, secrets, substring, urls
-from sparkloom.llm.components import connected_components
+from sparkloom.llm.components import connected_components, hub_join
 from sparkloom.llm.pieces import PieceTokenizer
 from sparkloom.llm.words import normal, words_of
 
@@ -75,7 +75,39 @@ def test_links_against_brute_force(spark, monkeypatch):
     kept = {r["doc_id"] for r in nearcopies.keep_one_of_each(table(spark, texts)).collect()}
     assert kept == {d for d, (c, _) in want.items() if c == d}
     again = table(spark, texts).unionByName(table(spark, texts))
-    assert nearcopies.keep_one_of_each(again).count() == len(kept)
+    blank = sum(not brute.words(t) for t in texts)
+    assert nearcopies.keep_one_of_each(again).count() == len(kept) + blank
+
+
+def test_links_of_repeated_and_missing_ids(spark):
+    """Rows are told apart by text and id: brute force over row numbers, then ids put in their place."""
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    a, b, c = (" ".join(word() for _ in range(60)) for _ in range(3))
+    near = lambda t: t + " " + word()
+    rows = [(5, a), (5, b), (7, near(a)), (8, near(b)), (9, near(b)), (None, c), (None, near(c)), (None, near(a)), (None, None), (None, " "), (5, a), (11, near(c)), (None, near(c)), (12, "x"), (None, "x")]
+    rows += [(None, c)] * 5
+    df = spark.createDataFrame([(i, t, "u", 1, 2) for i, t in rows], "doc_id long, text string, `__id` string, `__raw` int, `__blank` int")
+    want = brute.links([(k, t) for k, (_, t) in enumerate(rows)])
+    members = defaultdict(list)
+    for k, (cls, _) in want.items():
+        members[cls].append(k)
+    smallest = {cls: min((rows[k][0] for k in ks if rows[k][0] is not None), default=None) for cls, ks in members.items()}
+    expected = sorted(((rows[k][0], smallest[cls], n) for k, (cls, n) in want.items()), key=str)
+    assert sorted((tuple(r) for r in nearcopies.link_documents(df).collect()), key=str) == expected
+    kept = nearcopies.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    firsts = {cls: min((rows[k][0] is None, rows[k][0] or 0) for k in ks) for cls, ks in members.items()}
+    assert sorted(i is None for i, _ in got) == sorted(f[0] for f in firsts.values()) and sorted(str(i) for i, _ in got) == sorted(str(None if f[0] else f[1]) for f in firsts.values())
+    assert all(t in [rows[k][1] for k in range(len(rows))] for _, t in got)
+
+
+def test_hubs_are_dealt_out(spark):
+    left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 1700).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("m")).where("k % 7 != 0")
+    got = hub_join(left, right, ["k"], "n", 5000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, left.join(right, "k").select("k", "id", "n", "m").collect()))
 
 
 def test_groups_in_blocks_and_spanning_edges():
