@@ -141,16 +141,21 @@ def scored(text: Column, found: Column, kind: str) -> Column:
 def _proposed(text: Column) -> tuple[Column, Column]:
     """Spans of the base kinds, sorted, and those of iban, ssn and tel that score enough."""
     none = F.array().cast(SPANS)
+
+    def found(kind: str, places: Column) -> Column:
+        return scored(text, places, kind)
+
+    digit = text.rlike("[0-9]")  # all kinds but email have one, most texts have none
     at, dot, plus = (F.contains(text, F.lit(c)) for c in "@.+")
-    base = F.concat(
-        F.when(at, scored(text, spans(text, EMAIL, "email", 0), "email")).otherwise(none),
-        F.when(dot, scored(text, spans(text, IP, "ip", 1, keep=octets), "ip")).otherwise(none),
-        scored(text, spans(text, CARD, "card", 2, keep=luhn), "card"),
-        F.when(plus, scored(text, spans(text, PHONE, "phone", 3, keep=lambda m: n_digits(m).between(9, 15)), "phone")).otherwise(none),
+    numbers = F.concat(
+        F.when(dot, found("ip", spans(text, IP, "ip", 1, keep=octets))).otherwise(none),
+        found("card", spans(text, CARD, "card", 2, keep=luhn)),
+        F.when(plus, found("phone", spans(text, PHONE, "phone", 3, keep=lambda m: n_digits(m).between(9, 15)))).otherwise(none),
     )
-    # No word of a national number's context, no such number.
-    tel = F.when(text.rlike(CONTEXT["tel"]), scored(text, spans(text, TEL, "tel", 6, keep=lambda m: n_digits(m).between(7, 12)), "tel")).otherwise(none)
-    added = F.concat(scored(text, ibans(text), "iban"), scored(text, spans(text, SSN, "ssn", 5), "ssn"), tel)
+    base = F.concat(F.when(at, found("email", spans(text, EMAIL, "email", 0))).otherwise(none), F.when(digit, numbers).otherwise(none))
+    tel = spans(text, TEL, "tel", 6, keep=lambda m: n_digits(m).between(7, 12))
+    more = F.concat(found("iban", ibans(text)), found("ssn", spans(text, SSN, "ssn", 5)), found("tel", tel))
+    added = F.when(digit, more).otherwise(none)
     return F.sort_array(base), F.filter(added, lambda s: s["score"] >= LEAST)
 
 
