@@ -7,16 +7,16 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import apart_from, let, listed, number_of, spans
+from .shared import SPANS, apart_from, let, listed, number_of, spans
 
 #: Fixed patterns of the base kinds, in their order.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run that is too short has no longer one within it
-HEX = r"[0-9a-f]{24,}"
+HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"  # a run matches from its start or, too short, nowhere
 BASE_KINDS = ("assign", "access", "hex")
 
 #: Candidates for the entropy test.
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
 
 
 @dataclass(frozen=True)
@@ -100,12 +100,14 @@ def is_secret(value: Column) -> Column:
 
 def secret_spans(text: Column) -> Column:
     """All spans of secrets in text, sorted by start, then kind: those of BASE_KINDS and the added kind entropy."""
+    none = F.array().cast(SPANS)
+    sign, run = F.contains(text, F.lit("=")) | F.contains(text, F.lit(":")), text.rlike(CANDIDATE)  # which most texts lack
     base = F.sort_array(F.concat(
-        spans(text, ASSIGN, "assign", 0, keep=lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= 6),
-        F.when(F.contains(text, F.lit("AKIA")), spans(text, ACCESS, "access", 1)).otherwise(F.array()),
-        spans(text, HEX, "hex", 2),
+        F.when(sign, spans(text, ASSIGN, "assign", 0, keep=lambda m: F.length(F.regexp_extract(m, ASSIGN, 1)) >= 6)).otherwise(none),
+        F.when(F.contains(text, F.lit("AKIA")), spans(text, ACCESS, "access", 1)).otherwise(none),
+        F.when(run, spans(text, HEX, "hex", 2)).otherwise(none),
     ))
-    added = spans(text, CANDIDATE, "entropy", 3, keep=is_secret)
+    added = F.when(run, spans(text, CANDIDATE, "entropy", 3, keep=is_secret)).otherwise(none)
     return let(base, lambda known: let(added, lambda more: F.sort_array(F.concat(known, apart_from(known, more)))))
 
 
