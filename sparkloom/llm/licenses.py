@@ -6,6 +6,7 @@ aligns the two, and the gaps between are aligned in the same way. Coverage is th
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 COVERAGE = 0.8
 #: Words that an occurrence may have beyond its template, as a share of the template, and at least this many.
 SLACK, LEAST_SLACK = 0.25, 1
-#: Cells of the table by which a gap without anchors is aligned; larger ones match at their ends only.
-MOST_CELLS = 250_000
+#: Bits of the table by which a gap without anchors is aligned at once; larger gaps are halved first.
+MOST_BITS = 1 << 28
 
 # Wording of public licenses and of the notices that refer to them.
 TEMPLATES = {
@@ -85,23 +86,50 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _rows(a: list[str], b: list[str]) -> Iterator[int]:
+    """After each word of a, the row of the table of longest common subsequences with b, as an integer.
+
+    Bit j is 0 where the length grows from b[:j] to b[:j + 1]. A whole row is one addition and a few bit operations.
+    """
+    places: dict[str, int] = defaultdict(int)
+    for j, w in enumerate(b):
+        places[w] |= 1 << j
+    full = (1 << len(b)) - 1
+    row = full
+    for w in a:
+        here = row & places.get(w, 0)
+        row = ((row + here) | (row - here)) & full
+        yield row
+
+
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """Length of the longest common subsequence of a and each beginning of b."""
+    row = (1 << len(b)) - 1
+    for row in _rows(a, b):  # noqa: B007
+        pass
+    out, bits = [0], bin(row)[2:].zfill(len(b))[::-1]
+    for bit in bits[: len(b)]:
+        out.append(out[-1] + (bit == "0"))
+    return out
+
+
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence, by the usual table."""
-    table = [[0] * (len(b) + 1)]
-    for x in a:
-        above, row = table[-1], [0]
-        for j, y in enumerate(b):
-            row.append(above[j] + 1 if x == y else max(above[j + 1], row[j]))
-        table.append(row)
+    """A longest common subsequence: in a table of one bit a cell, or by halves where that would be large."""
+    if len(a) > 1 and len(a) * len(b) > MOST_BITS:
+        half = len(a) // 2
+        before, after = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])
+        cut = max(range(len(b) + 1), key=lambda j: before[j] + after[len(b) - j])
+        return _common(a[:half], b[:cut]) + [(i + half, j + cut) for i, j in _common(a[half:], b[cut:])]
+    rows = list(_rows(a, b))
     out, i, j = [], len(a), len(b)
     while i and j:
-        if a[i - 1] == b[j - 1]:
-            i, j = i - 1, j - 1
-            out.append((i, j))
-        elif table[i - 1][j] >= table[i][j - 1]:
+        if rows[i - 1] >> (j - 1) & 1:  # b's last word adds nothing
+            j -= 1
+        elif i > 1 and not rows[i - 2] >> (j - 1) & 1:  # it does so without a's last word too
             i -= 1
         else:
-            j -= 1
+            i, j = i - 1, j - 1
+            out.append((i, j))
     return out[::-1]
 
 
@@ -123,8 +151,7 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         where = {w: j for j, w in enumerate(b[b0:b1], b0) if in_b[w] == 1}
         anchors = _rising([(i, where[w]) for i, w in enumerate(a[a0:a1], a0) if in_a[w] == 1 and w in where])
         if not anchors:
-            if (a1 - a0) * (b1 - b0) <= MOST_CELLS:
-                out += [(i + a0, j + b0) for i, j in _common(a[a0:a1], b[b0:b1])]
+            out += [(i + a0, j + b0) for i, j in _common(a[a0:a1], b[b0:b1])]
             continue
         out += anchors
         edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
@@ -141,6 +168,11 @@ class Template:
     keys: tuple[str, ...]
 
 
+def least_words(n: int, coverage: float) -> int:
+    """Words of a template of n that an occurrence aligns at least; a product that errs in its last bits counts as whole."""
+    return math.ceil(coverage * n - 1e-9)
+
+
 @cache
 def compiled(texts: tuple[tuple[str, str], ...], coverage: float) -> tuple[Template, ...]:
     """Templates, longest first. Keys are words of four letters or more, if they suffice, that few templates have.
@@ -156,7 +188,7 @@ def compiled(texts: tuple[tuple[str, str], ...], coverage: float) -> tuple[Templ
             continue
         own, keys, places = Counter(words), [], 0
         for w in sorted(own, key=lambda w: (len(w) < 4, spread[w], -len(w), w)):
-            if places > (1 - coverage) * len(words):
+            if places > len(words) - least_words(len(words), coverage):
                 break
             keys.append(w)
             places += own[w]
@@ -171,7 +203,9 @@ def occurrences(words: list[str], templates: tuple[Template, ...], coverage: flo
     found: list[tuple[int, int, str, float]] = []
     for t in templates:
         keys = [k for k in t.keys if k in have]
-        if not keys or len(have.intersection(t.words)) < coverage * len(set(t.words)) - (1 - coverage) * len(t.words):
+        need = least_words(len(t.words), coverage)
+        # Each different word that is missing lacks a place at least.
+        if not keys or len(set(t.words)) - len(have.intersection(t.words)) > len(t.words) - need:
             continue
         if places is None:
             places = defaultdict(list)
@@ -188,7 +222,7 @@ def occurrences(words: list[str], templates: tuple[Template, ...], coverage: flo
             last = begin  # of equal ones the first will do
             low, high = max(0, begin - slack), min(len(words), begin + len(t.words) + slack)
             pairs = align(words[low:high], list(t.words))
-            if len(pairs) >= coverage * len(t.words) and pairs[-1][0] - pairs[0][0] < len(t.words) + slack:
+            if len(pairs) >= need and pairs[-1][0] - pairs[0][0] < len(t.words) + slack:
                 best.append((len(pairs) / len(t.words), low + pairs[0][0], low + pairs[-1][0] + 1))
         for share, s, e in sorted(best, key=lambda x: (-x[0], x[1])):
             if not any(s < f[1] and f[0] < e for f in found):

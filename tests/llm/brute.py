@@ -97,3 +97,40 @@ def measures(text):
             inside |= {i, i + 1, i + 2}
     lines = [x for x in (text or "").split("\n") if WORD.search(x)]
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside)
+
+
+def common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    return row[-1]
+
+
+def patience(a, b):
+    """Number of words aligned by patience: ends, anchors unique in both by the longest rising run, gaps again; a gap without anchors by its longest common subsequence."""
+    n = 0
+    while a and b and a[0] == b[0]:
+        a, b, n = a[1:], b[1:], n + 1
+    while a and b and a[-1] == b[-1]:
+        a, b, n = a[:-1], b[:-1], n + 1
+    if not a or not b:
+        return n
+    anchors = [(i, b.index(w)) for i, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+    if not anchors:
+        return n + common(a, b)
+    best = [[p] for p in anchors]
+    for k, p in enumerate(anchors):
+        for m in range(k):
+            if anchors[m][1] < p[1] and len(best[m]) + 1 > len(best[k]):
+                best[k] = [*best[m], p]
+    run = max(best, key=len)
+    edges = [(-1, -1), *run, (len(a), len(b))]
+    return n + len(run) + sum(patience(a[x + 1 : u], b[y + 1 : v]) for (x, y), (u, v) in zip(edges, edges[1:], strict=False))
+
+
+def licensed(words, template, coverage, slack):
+    """Whether some stretch of the words, by its length from any beginning, aligns enough of the template."""
+    return any(patience(words[s : s + len(template) + slack], template) >= coverage * len(template) for s in range(len(words)))

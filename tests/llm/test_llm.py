@@ -293,9 +293,58 @@ def test_licenses(spark):
     for _ in range(50):
         a, b = ([rng.choice("abcdefgh") for _ in range(rng.randrange(20))] for _ in range(2))
         pairs = licenses.align(a, b)
+        assert len(licenses._common(a, b)) == brute.common(a, b)
         assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
 
 
+def test_large_gaps_are_aligned(monkeypatch):
+    for n in (400, 600, 3000):
+        assert len(licenses.align(["x"] * n, ["x"] * (n + 1) + ["y"] * n)) == n and len(licenses.align(["z", "z", *["x"] * n], [*["x"] * n, "z", "z"])) == n
+    rng = random.Random(2)
+    monkeypatch.setattr(licenses, "MOST_BITS", 40)
+    for _ in range(100):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(30))] for _ in range(2))
+        pairs = licenses._common(a, b)
+        assert len(pairs) == brute.common(a, b) and all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+
+
+def test_licenses_against_brute_force(spark):
+    """Edited copies of small templates between other words: found exactly where some stretch aligns enough."""
+    rng = random.Random(22)
+    names = ["license", "grant", "terms", "notice", *(a + b for a in "abcdefg" for b in "abcdefg")]
+    templates = {f"T{i}": " ".join(rng.choice(names) for _ in range(n)) + f" word{i}" for i, n in enumerate((9, 14, 24, 40))}
+    texts = []
+    for _ in range(120):
+        t = rng.choice(list(templates.values())).split()
+        for _ in range(rng.randrange(len(t) // 3 + 1)):
+            i = rng.randrange(len(t))
+            t[i : i + 1] = rng.choice([[], ["zz"], [t[i], "yy"], [rng.choice(names)]])
+        texts.append(" ".join([*(rng.choice([*names, "qq"]) for _ in range(rng.randrange(8))), *t, *(rng.choice(["rr", "ss"]) for _ in range(rng.randrange(8)))]))
+    texts += [texts[0] + " " + texts[1], texts[0], texts[0], None, ""]
+    found = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(table(spark, texts), templates).collect()}
+    hits = 0
+    for i, text in enumerate(texts):
+        words, spans = licenses.words_in(text or "")
+        at = {s: k for k, (s, _) in enumerate(spans)}
+        ends = {e: k + 1 for k, (_, e) in enumerate(spans)}
+        for x in found[i]:
+            t = templates[x["license"]].split()
+            stretch = words[at[x["start"]] : ends[x["end"]]]
+            assert x["coverage"] >= licenses.COVERAGE and len(stretch) <= 1.25 * len(t) + 1
+            assert x["coverage"] * len(t) <= brute.common(stretch, t) + 1e-9
+        assert all(x["end"] <= y["start"] for x, y in zip(found[i], found[i][1:], strict=False))
+        for name, t in templates.items():
+            t = t.split()
+            slack = max(licenses.LEAST_SLACK, int(licenses.SLACK * len(t)))
+            want = brute.licensed(words, t, licenses.COVERAGE, 0)
+            got = any(x["license"] == name for x in found[i])
+            hits += got
+            taken = any(len(templates[x["license"]].split()) >= len(t) for x in found[i])
+            assert got or taken or not want, (name, text)
+            assert not got or brute.licensed(words, t, licenses.COVERAGE, 2 * slack)
+    assert hits > 80 and found[121] == found[122] == found[0] and found[123] == found[124] == []
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1200, 16)).astype(np.float32)
