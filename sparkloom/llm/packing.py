@@ -28,11 +28,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+
+
 def _cut(path: str | None, size: int):
-    """(doc_id, text) to pieces of at most `size` tokens: doc_id, start, length, ids_crc32, doc_tokens."""
+    """(doc_id, text) to pieces of at most `size` tokens: PIECE, with salt, a number of the piece in its task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = tokenizer_for(path or vocabulary())
+        tokenizer, made = tokenizer_for(path or vocabulary()), 0
         for batch in batches:
             docs = batch.column(0).to_pylist()
             texts = [t.decode("utf-8", "replace") if t else "" for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -42,8 +45,9 @@ def _cut(path: str | None, size: int):
                 while end < len(docs) and (end == begin or chars + len(texts[end]) <= CHUNK):
                     chars += len(texts[end])
                     end += 1
-                yield pieces(docs[begin:end], *tokenizer.encode(texts[begin:end]), size)
-                begin = end
+                out = pieces(docs[begin:end], *tokenizer.encode(texts[begin:end]), size)
+                yield out.append_column("salt", pa.array(np.arange(made, made + out.num_rows)))
+                begin, made = end, made + out.num_rows
 
     def pieces(docs: list, ids: np.ndarray, counts: np.ndarray, size: int) -> pa.RecordBatch:
         stops = np.cumsum(counts)
@@ -71,14 +75,13 @@ def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[tuple[int
     room: dict[int, list[tuple[tuple[int, ...], int]]] = {}
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        placed: list[tuple[int, tuple[int, ...], int]] = []
         while left:
             most = max((r for r in room if r >= length), default=None)
             if most is None:
                 # Full new packs of this length, and one with what is left.
                 each = min(size // length, left)
                 packs = left // each
-                placed.append((size - each * length, (length,) * each, packs))
+                room.setdefault(size - each * length, []).append(((length,) * each, packs))
                 left -= packs * each
                 continue
             pattern, n = room[most].pop()
@@ -87,10 +90,8 @@ def pack_histogram(histogram: dict[int, int], size: int) -> list[tuple[tuple[int
             used = min(n, left)
             if n > used:
                 room.setdefault(most, []).append((pattern, n - used))
-            placed.append((most - length, (*pattern, length), used))
+            room.setdefault(most - length, []).append(((*pattern, length), used))
             left -= used
-        for r, pattern, n in placed:
-            room.setdefault(r, []).append((pattern, n))
     return sorted(((p, n) for packs in room.values() for p, n in packs), reverse=True)
 
 
@@ -141,18 +142,19 @@ def pack_documents(docs: DataFrame, path: str | None = None, size: int = MAX_TOK
     A null or empty text has END_ID alone; null and repeated doc_ids are packed like any other, row by row; extra
     columns are ignored; an empty table gives an empty result.
     """
-    cut = stage(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_cut(path, size), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"), "pieces")
+    cut = stage(docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_cut(path, size), f"{PIECE}, salt bigint"), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     # About as many blocks of a length as each has pieces: neither a block nor the list of blocks is long.
     blocks = docs.sparkSession.createDataFrame([(k, max(1, math.isqrt(n) // 2)) for k, n in histogram.items()], "length bigint, blocks int")
-    block = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("blocks")).cast("int")
+    # salt tells rows apart that are alike in all else, so that very many of them don't meet in a block.
+    block = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.col("blocks")).cast("int")
     dealt = cut.join(F.broadcast(blocks), "length").withColumn("block", block)
-    within = dealt.withColumn("place", F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "start", "ids_crc32")))
+    within = dealt.withColumn("place", F.row_number().over(Window.partitionBy("length", "block").orderBy("doc_id", "start", "ids_crc32", "salt")))
     counts = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("length", "block", (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before"))
     ranked = within.join(before, ["length", "block"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("place") - 1).alias("rank"))
     slots = _slots(pack_histogram(histogram, size))
-    return ranked.mapInArrow(_place(slots), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(_place(slots), f"{PIECE}, sequence_id bigint, offset bigint")
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:

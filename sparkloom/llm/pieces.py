@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import cache
 
 import numpy as np
@@ -27,6 +28,12 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made_of = json.loads(self.tokenizer.to_str())
+        splits, model = made_of["pre_tokenizer"] or {}, made_of["model"]
+        plain = splits.get("type") == "ByteLevel" and splits.get("use_regex", True) and not splits.get("add_prefix_space")
+        whole = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+        if not (plain and whole) or made_of["normalizer"] or made_of["truncation"]:
+            raise ValueError(f"{path} isn't a byte-level BPE with the common split into words")
         self.model = self.tokenizer.model
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.classes = np.full(0x110000, UNKNOWN, dtype=np.uint8)

@@ -443,7 +443,6 @@ def test_pieces_are_exact(tokenizer):
     rng = random.Random(8)
     signs = ["a", "b", "'", "s", "t", "re", "ll", " ", "  ", "\n", "\t", " ", "1", "²", "é", "漢", "🎉", "!", "​", "\0", "\x1c", "\x85", "'S", "Ⅷ", "<|endoftext|>"]
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(40))) for _ in range(1500)] + ["", "'s", " "]
-    tokenizer.tokenizer.encode_special_tokens = True
     ids, counts = tokenizer.encode(texts)
     at = 0
     for t, n, e in zip(texts, counts.tolist(), tokenizer.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
@@ -462,6 +461,13 @@ def test_added_tokens_are_exact():
     assert tokenizer.encode(["a <|endoftext|> b"])[1].tolist() == [4]
 
 
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        PieceTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_packing(spark, tokenizer):
     texts = corpus(11) + ["word " * 9000]
     rows = packing.pack_documents(table(spark, texts)).collect()
@@ -483,6 +489,8 @@ def test_packing(spark, tokenizer):
             assert offset == at
             at += length
         assert at <= packing.MAX_TOKENS
+    alike = packing.pack_documents(spark.createDataFrame([(None, "same words", 1)] * 300 + [(7, None, 2), (7, "", 3)], "doc_id long, text string, salt int")).collect()
+    assert len(alike) == 302 and len({(r["sequence_id"], r["offset"]) for r in alike}) == 302 and len({r["sequence_id"] for r in alike}) == 1
     patterns = packing.pack_histogram({5: 7, 3: 10, 1: 4}, 8)
     assert sum(n * sum(p) for p, n in patterns) == 69 and sum(n for _, n in patterns) <= 10
 
