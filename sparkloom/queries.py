@@ -6,6 +6,8 @@ Results are rounded where sums may differ in their last bits, and -0.0 is made 0
 from __future__ import annotations
 
 import itertools
+import json
+import re
 from collections.abc import Callable
 from functools import partial
 
@@ -186,7 +188,13 @@ def kbins_onehot(spark, d):
     return scalers.KBinsDiscretizer(4, "quantile", "onehot").fit_transform(lineitem(spark, d).select(*KEY, "l_quantity"), ["l_quantity"])
 
 
-@query("kbins_kmeans")
+_LLOYD = """WITH RECURSIVE s AS (SELECT list_distinct([min(value), quantile_cont(value, 1 / 3), quantile_cont(value, 2 / 3), max(value)]) AS c, min(value) lo, max(value) hi FROM events),
+  k AS (SELECT 0 AS i, list_sort(c) AS c, false AS still FROM s UNION ALL SELECT i + 1, list(m ORDER BY g), bool_and(abs(m - c[g]) <= 1e-12) FROM (
+    SELECT i, any_value(c) c, g, avg(value) m FROM (SELECT i, c, value, list_position(list_transform(c, lambda x: abs(value - x)), list_min(list_transform(c, lambda x: abs(value - x)))) g FROM k, events WHERE i < 50 AND NOT still) GROUP BY i, g) GROUP BY i),
+  e AS (SELECT list_sort(c) c FROM k ORDER BY i DESC LIMIT 1)"""
+
+
+@query("kbins_kmeans", f"{_LLOYD} SELECT event_id, (CASE WHEN value >= hi THEN len(e.c) - 1 WHEN value <= lo THEN 0 ELSE len(list_filter(range(1, len(e.c)), lambda j: value >= (e.c[j] + e.c[j + 1]) / 2)) END)::DOUBLE AS value FROM events, e, s")
 def kbins_kmeans(spark, d):
     return scalers.KBinsDiscretizer(4, "kmeans").fit_transform(t(spark, d, "events").select("event_id", "value"), ["value"])
 
@@ -221,12 +229,29 @@ def power_fixed(spark, d):
     return rounded(df)
 
 
+def _likelihood(levels: int, value: str) -> str:
+    """SQL of the most likely Box-Cox lambda: a grid of tenths, then finer ones around the best."""
+    ctes = [f"x AS (SELECT {value} AS v FROM events)", "j AS (SELECT sum(ln(v)) AS j, count(*) AS n FROM x)", "l0 AS (SELECT 0.0::DOUBLE AS lam)"]
+    for i in range(1, levels + 1):
+        reach, step = (50, 0.1) if i == 1 else (12, 10.0**-i)
+        power = "CASE WHEN abs(g) < 1e-8 THEN ln(v) ELSE (pow(v, g) - 1) / g END"
+        ctes.append(f"g{i} AS (SELECT lam + k * {step!r}::DOUBLE AS g FROM l{i - 1}, range(-{reach}, {reach + 1}) r(k))")
+        ctes.append(f"l{i} AS (SELECT g AS lam FROM (SELECT g, ln(var_pop({power})) AS lv FROM g{i}, x GROUP BY g), j ORDER BY n / 2 * lv - (g - 1) * j, g LIMIT 1)")
+    return "WITH " + ", ".join(ctes)
+
+
 @query("power_fitted")
 def power_fitted(spark, d):
-    df = t(spark, d, "events").select("event_id", "value")
+    df = t(spark, d, "events").select("event_id", (F.col("value") + 1).alias("value"))
     return rounded(scalers.PowerTransformer("box-cox").fit_transform(df, ["value"]), n=4)
 
 
+@query("power_parameters", f"{_likelihood(6, 'value + 1')}, y AS (SELECT lam, (pow(v, lam) - 1) / lam AS y FROM x, l6) SELECT 'value' AS \"column\", {rnd('any_value(lam)', 'lambda', 3)}, {rnd('avg(y)', 'mean', 1)}, {rnd('stddev_pop(y)', 'std', 1)} FROM y")
+def power_parameters(spark, d):
+    m = scalers.PowerTransformer("box-cox").fit(t(spark, d, "events").select((F.col("value") + 1).alias("value")), ["value"])
+    return rounded(rounded(rows_of(spark, [("value", m.lambdas[0], m.mean[0], m.std[0])], "column string, lambda double, mean double, std double"), ["lambda"], 3), ["mean", "std"], 1)
+
+
 @query("variance_threshold", f"SELECT {KEYS}, l_quantity, l_extendedprice FROM lineitem")
 def variance_threshold(spark, d):
     return selection.VarianceThreshold(0.01).fit_transform(lineitem(spark, d), LI)
@@ -356,9 +381,6 @@ _imputer("imputer_median", "median", "SELECT quantile_cont(value, 0.5) AS f FROM
 _imputer("imputer_mode", "most_frequent", "SELECT value AS f FROM h WHERE value IS NOT NULL GROUP BY value ORDER BY count(*) DESC, value LIMIT 1")
 _imputer("imputer_constant", "constant", "SELECT -1.0 AS f")
 
-#: Customers that the SQL of the neighbour queries compares; the queries take all.
-KNN_REFERENCE = "c_custkey <= 200"
-
 
 def _knn(name: str, weights: str) -> None:
     def run(spark, d):
@@ -368,7 +390,7 @@ def _knn(name: str, weights: str) -> None:
 
     w = "1.0" if weights == "uniform" else "1.0 / greatest(d, 1e-12)"
     QUERIES[name] = run
-    ORACLES[name] = f"""WITH h AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS bal, CASE WHEN c_custkey % 7 <> 0 OR c_custkey % 5 = 0 THEN c_nationkey::DOUBLE END AS nation FROM customer WHERE {KNN_REFERENCE}),
+    ORACLES[name] = f"""WITH h AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_acctbal END AS bal, CASE WHEN c_custkey % 7 <> 0 OR c_custkey % 5 = 0 THEN c_nationkey::DOUBLE END AS nation FROM customer),
       p AS (SELECT a.c_custkey id, b.c_custkey ref, b.bal rb, b.nation rn, (a.bal IS NOT NULL AND b.bal IS NOT NULL)::INT + (a.nation IS NOT NULL AND b.nation IS NOT NULL)::INT AS k,
         coalesce(pow(a.bal - b.bal, 2), 0) + coalesce(pow(a.nation - b.nation, 2), 0) AS s FROM h a, h b WHERE a.bal IS NULL OR a.nation IS NULL),
       n AS (SELECT *, s * (2.0 / k) AS d, row_number() OVER (PARTITION BY id ORDER BY s * (2.0 / k), ref) AS r FROM p WHERE k > 0),
@@ -411,9 +433,13 @@ def mutual_information(spark, d):
     return _score_rows(spark, selection.mutual_information(_flag(spark, d), LI, "y"))
 
 
-@query("select_k_best")
+_F_SCORES = " UNION ALL ".join(f"SELECT {i} AS i, '{c}' AS c, (SELECT (sum(n * pow(m - g, 2)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) FROM (SELECT count(*) n, avg({c}) m, var_pop({c}) v, (SELECT avg({c}) FROM lineitem) g FROM lineitem GROUP BY l_returnflag)) AS f" for i, c in enumerate(LI))
+
+
+@query("select_k_best", f"WITH f AS ({_F_SCORES}), k AS (SELECT c FROM f ORDER BY f DESC, i LIMIT 2) SELECT {KEYS}, \"column\", value FROM (" + " UNION ALL ".join(f"SELECT {KEYS}, '{c}' AS \"column\", {c}::DOUBLE AS value FROM lineitem" for c in LI) + ') WHERE "column" IN (SELECT c FROM k)')
 def select_k_best(spark, d):
-    return selection.SelectKBest(2).fit_transform(_flag(spark, d).select(*KEY, *LI, "y"), LI, "y")
+    got = selection.SelectKBest(2).fit_transform(_flag(spark, d).select(*KEY, *LI, "y"), LI, "y")
+    return got.unpivot(KEY, [F.col(c).cast("double").alias(c) for c in LI if c in got.columns], "column", "value")
 
 
 # Linear models
@@ -458,18 +484,34 @@ def _status(spark, d) -> DataFrame:
     return lineitem(spark, d, "l_linestatus").withColumn("y", (F.col("l_linestatus") == "O").cast("double"))
 
 
-@query("logistic_binary")
+_NEWTON2 = f"""WITH RECURSIVE c AS (SELECT l_quantity - avg(l_quantity) OVER () AS x, l_discount - avg(l_discount) OVER () AS z, (l_linestatus = 'O')::INT::DOUBLE AS y FROM lineitem),
+  k AS (SELECT 0 AS i, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, false AS done UNION ALL SELECT i + 1, (u * c - v * b) / (a * c - b * b), (a * v - b * u) / (a * c - b * b), greatest(abs((u * c - v * b) / (a * c - b * b) - b0), abs((a * v - b * u) / (a * c - b * b) - b1)) < 1e-4 FROM (
+    SELECT i, any_value(b0) b0, any_value(b1) b1, sum(w * x * x) a, sum(w * x * z) b, sum(w * z * z) c, sum(x * (w * eta + y - p)) u, sum(z * (w * eta + y - p)) v FROM (
+      SELECT *, p * (1 - p) AS w FROM (SELECT *, 1 / (1 + exp(-eta)) AS p FROM (SELECT i, b0, b1, x, z, y, b0 * x + b1 * z AS eta FROM k, c WHERE i < 100 AND NOT done))) GROUP BY i)),
+  m AS (SELECT b0, b1, ln(r / (1 - r)) - b0 * mx - b1 * mz AS b FROM (SELECT * FROM k ORDER BY i DESC LIMIT 1), (SELECT avg((l_linestatus = 'O')::INT::DOUBLE) r, avg(l_quantity) mx, avg(l_discount) mz FROM lineitem)),
+  s AS (SELECT {KEYS}, 1 / (1 + exp(-(b + b0 * l_quantity + b1 * l_discount))) AS p FROM lineitem, m)"""
+
+
+@query("logistic_binary", f"{_NEWTON2} SELECT {KEYS}, (p >= 0.5)::INT::DOUBLE AS prediction, {rnd('p', 'p', 5)} FROM s")
 def logistic_binary(spark, d):
     df = _status(spark, d)
-    m = linear.LogisticRegression().fit(df, LI, "y")
-    return rounded(m.predict_proba(m.transform(df)).select(*KEY, "prediction", F.col("probability")[1].alias("p")))
+    m = linear.LogisticRegression().fit(df, ["l_quantity", "l_discount"], "y")
+    return rounded(m.predict_proba(m.transform(df)).select(*KEY, "prediction", F.col("probability")[1].alias("p")), n=5)
+
+
+_NEWTON3 = f"""WITH RECURSIVE c AS (SELECT l_quantity - avg(l_quantity) OVER () AS x, y FROM {_FLAGGED}),
+  k AS (SELECT 0 AS i, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, false AS done UNION ALL SELECT i + 1, b0 - s0, b1 - s1, greatest(0, s0, s1) < 1e-4 FROM (SELECT *, (u * c - v * b) / (a * c - b * b) AS s0, (a * v - b * u) / (a * c - b * b) AS s1 FROM (
+    SELECT i, any_value(b0) b0, any_value(b1) b1, sum(x * x * p0 * (1 - p0)) + 1e-10 a, sum(-x * x * p0 * p1) b, sum(x * x * p1 * (1 - p1)) + 1e-10 c, sum(x * (p0 - (y = 0)::INT)) u, sum(x * (p1 - (y = 1)::INT)) v FROM (
+      SELECT i, b0, b1, x, y, exp(b0 * x) / (1 + exp(b0 * x) + exp(b1 * x)) AS p0, exp(b1 * x) / (1 + exp(b0 * x) + exp(b1 * x)) AS p1 FROM k, c WHERE i < 100 AND NOT done) GROUP BY i))),
+  m AS (SELECT b0, b1, mx FROM (SELECT * FROM k ORDER BY i DESC LIMIT 1), (SELECT avg(l_quantity) mx FROM lineitem)),
+  e AS (SELECT {KEYS}, exp(b0 * (l_quantity - mx)) AS e0, exp(b1 * (l_quantity - mx)) AS e1 FROM lineitem, m)"""
 
 
-@query("logistic_multiclass")
+@query("logistic_multiclass", f"{_NEWTON3} SELECT {KEYS}, {rnd('e0 / (1 + e0 + e1)', 'p0', 5)}, {rnd('e1 / (1 + e0 + e1)', 'p1', 5)}, (CASE WHEN greatest(e0, e1) <= 1 THEN 2 WHEN e1 >= e0 THEN 1 ELSE 0 END)::DOUBLE AS prediction FROM e")
 def logistic_multiclass(spark, d):
     df = _flag(spark, d)
-    m = linear.LogisticRegression().fit(df, LI, "y")
-    return rounded(m.transform(df).select(*KEY, "prediction"))
+    m = linear.LogisticRegression().fit(df, ["l_quantity"], "y")
+    return rounded(m.predict_proba(m.transform(df)).select(*KEY, "prediction", *(F.col("probability")[i].alias(f"p{i}") for i in (0, 1))), n=5)
 
 
 # Decomposition and clustering
@@ -503,10 +545,15 @@ def truncated_svd(spark, d):
     return rounded(rows_of(spark, [(float(sum(s * s for s in m.singular_values)),)], "total double"), n=3)
 
 
-@query("pca_projection")
+_MEANS = ", ".join(f"avg(embedding[{i + 1}]::DOUBLE) AS m{i}" for i in range(64))
+
+
+@query("pca_projection", f"WITH m AS (SELECT {_MEANS} FROM embeddings) SELECT vec_id, {rnd(' + '.join(f'pow(embedding[{i + 1}]::DOUBLE - m{i}, 2)' for i in range(64)), 'energy', 4)} FROM embeddings, m")
 def pca_projection(spark, d):
+    """Squared length of each row's projection on all components: that of the centred row, as components are orthonormal."""
     df, cols = wide(spark, d)
-    return rounded(decomposition.PCA(8, solver="randomized").fit(df, cols).transform_array(t(spark, d, "embeddings"), "embedding", "z").select("vec_id", F.transform("z", lambda v: F.round(v, 4)).alias("z")))
+    z = decomposition.PCA(None).fit(df, cols).transform_array(t(spark, d, "embeddings"), "embedding", "z")
+    return rounded(z.select("vec_id", F.aggregate("z", F.lit(0.0), lambda acc, v: acc + v * v).alias("energy")), n=4)
 
 
 _LLOYD_D = [f"(pow(c_acctbal - {a!r}, 2) + pow(c_nationkey - {b!r}, 2))" for a, b in ((-500.0, 2.0), (2000.0, 12.0), (7000.0, 20.0))]
@@ -518,14 +565,31 @@ def kmeans_step(spark, d):
     return rounded(rows_of(spark, [(i, *c) for i, c in enumerate(m.centres)], "cluster int, bal double, nation double"), n=4)
 
 
-@query("kmeans")
+@query("kmeans", "SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_orderstatus) AS cluster FROM orders")
 def kmeans(spark, d):
+    """Three groups far apart, found from seeds drawn by k-means++; clusters are named by their smallest key."""
+    far = F.when(F.col("o_orderstatus") == "F", 0.0).when(F.col("o_orderstatus") == "O", 1e7).otherwise(-3e7)
+    df = _numbered(spark, d).join(orders(spark, d).select("o_orderkey", "o_totalprice"), "o_orderkey").select("o_orderkey", "rid", (far + F.col("o_totalprice")).alias("a"), (far / 2).alias("b"))
+    got = cluster.KMeans(3, n_init=3, max_iter=20).fit(df, ["a", "b"]).transform(df)
+    names = got.groupBy("cluster").agg(F.min("o_orderkey").alias("name"))
+    return got.join(F.broadcast(names), "cluster").select("o_orderkey", F.col("name").alias("cluster"))  # one row a cluster
+
+
+@query("kmeans_fit", """WITH RECURSIVE x AS (SELECT vec_id, list_transform(embedding[1:4], lambda e: e::DOUBLE) AS v FROM embeddings),
+  k AS (SELECT 0 AS i, list(v ORDER BY vec_id) AS c, 1.0::DOUBLE AS shift FROM (SELECT * FROM x ORDER BY vec_id LIMIT 3) UNION ALL
+    SELECT i + 1, list(m ORDER BY g), sum(list_distance(m, c[g]) ** 2) / 3 FROM (SELECT i, any_value(c) c, g, [avg(v[1]), avg(v[2]), avg(v[3]), avg(v[4])] m FROM (
+      SELECT i, c, v, list_position(list_transform(c, lambda q: list_distance(q, v)), list_min(list_transform(c, lambda q: list_distance(q, v)))) g FROM k, x WHERE i < 100 AND shift > 1e-12) GROUP BY i, g) GROUP BY i),
+  e AS (SELECT i, unnest(c) AS m, generate_subscripts(c, 1) - 1 AS cluster FROM (SELECT * FROM k ORDER BY i DESC LIMIT 1))
+  SELECT cluster::INT AS cluster, round(m[1], 4) + 0.0 AS e0, round(m[2], 4) + 0.0 AS e1, round(m[3], 4) + 0.0 AS e2, round(m[4], 4) + 0.0 AS e3 FROM e""")
+def kmeans_fit(spark, d):
+    """Lloyd's algorithm to its end, from the first three rows."""
     df, cols = wide(spark, d)
-    m = cluster.KMeans(4, n_init=2, max_iter=20, rid="vec_id").fit(df, cols[:8])
-    return m.transform(df.select("vec_id", *cols[:8])).select("vec_id", "cluster")
+    first = [[r[c] for c in cols[:4]] for r in df.orderBy("vec_id").limit(3).collect()]
+    m = cluster.KMeans(3, max_iter=100, tol=1e-12).fit_from(df, cols[:4], first)
+    return rounded(rows_of(spark, [(i, *c) for i, c in enumerate(m.centres)], "cluster int, e0 double, e1 double, e2 double, e3 double"), n=4)
 
 
-@query("silhouette", f"""WITH x AS (SELECT c_custkey, c_mktsegment k, c_acctbal a, c_nationkey b FROM customer WHERE c_custkey <= 400),
+@query("silhouette", f"""WITH x AS (SELECT c_custkey, c_mktsegment k, c_acctbal a, c_nationkey b FROM customer),
   p AS (SELECT x.c_custkey, x.k, y.k k2, sum(sqrt(pow(x.a - y.a, 2) + pow(x.b - y.b, 2))) s, count(*) n FROM x, x y GROUP BY ALL),
   m AS (SELECT c_custkey, max(CASE WHEN k = k2 THEN s / nullif(n - 1, 0) END) ai, min(CASE WHEN k <> k2 THEN s / n END) bi FROM p GROUP BY 1)
   SELECT c_custkey AS rid, {rnd('CASE WHEN ai IS NULL THEN 0 ELSE (bi - ai) / greatest(ai, bi) END', 'silhouette')} FROM m""")
@@ -628,9 +692,38 @@ def train_test_split(spark, d):
     return train.select("o_orderkey", F.lit(False).alias("is_test")).unionByName(test.select("o_orderkey", F.lit(True).alias("is_test")))
 
 
-@query("train_test_split_shuffled")
+def _shuffled_sql(seed: int, segments: str, order: str) -> str:
+    """CTEs up to p(rid, place): customers shuffled from the last place down, within each of segments(s, n), by xorshift64 (13, 7, 17)."""
+    return f"""WITH RECURSIVE r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_custkey) - 1 AS rid FROM customer), seg AS ({segments}),
+      steps AS (SELECT row_number() OVER (ORDER BY s, i DESC) AS t, s::BIGINT AS s, i::BIGINT AS i FROM (SELECT s, unnest(range(1, n)) AS i FROM seg)),
+      f AS (SELECT 0::BIGINT AS t, {seed}::UBIGINT AS x, (SELECT list(rid ORDER BY {order}) FROM r) AS l UNION ALL
+        SELECT t, x, list_transform(l, lambda v, k: CASE WHEN k = s + i + 1 THEN l[s + j + 1] WHEN k = s + j + 1 THEN l[s + i + 1] ELSE v END) FROM (
+          SELECT *, floor((x >> 11)::DOUBLE / 9007199254740992.0 * (i + 1))::BIGINT AS j FROM (
+            SELECT t, l, s, i, xor(x, (x & 140737488355327::UBIGINT) << 17) AS x FROM (SELECT t, l, s, i, xor(x, x >> 7) AS x FROM (
+              SELECT steps.t AS t, l, s, i, xor(x, (x & 2251799813685247::UBIGINT) << 13) AS x FROM f JOIN steps ON steps.t = f.t + 1))))),
+      p AS (SELECT unnest(l) AS rid, generate_subscripts(l, 1) - 1 AS place FROM (SELECT l FROM f ORDER BY t DESC LIMIT 1))"""
+
+
+_WHOLE, _BY_SEGMENT = "SELECT 0 AS s, count(*) AS n FROM r", "SELECT sum(n) OVER (ORDER BY c_mktsegment) - n AS s, n FROM (SELECT c_mktsegment, count(*) AS n FROM r GROUP BY 1)"
+
+
+def _customers(spark, d) -> DataFrame:
+    return stats.with_rid(t(spark, d, "customer").select("c_custkey", "c_mktsegment"), ["c_custkey"])
+
+
+@query("train_test_split_shuffled", f"{_shuffled_sql(42, _WHOLE, 'rid')} SELECT c_custkey FROM p JOIN r USING (rid) WHERE place < (SELECT ceil(count(*) * 0.25) FROM r)")
 def train_test_split_shuffled(spark, d):
-    return splits.train_test_split(_numbered(spark, d), 0.25, True, 42)[1].select("o_orderkey")
+    return splits.train_test_split(_customers(spark, d), 0.25, True, 42)[1].select("c_custkey")
+
+
+@query("kfold_shuffled", f"{_shuffled_sql(3, _WHOLE, 'rid')} SELECT c_custkey, (CASE WHEN place < (n % 7) * (n // 7 + 1) THEN place // (n // 7 + 1) ELSE (place - (n % 7) * (n // 7 + 1)) // (n // 7) + n % 7 END)::INT AS fold FROM p JOIN r USING (rid), (SELECT count(*) AS n FROM r)")
+def kfold_shuffled(spark, d):
+    return splits.KFold(7, True, 3).assign(_customers(spark, d)).select("c_custkey", "fold")
+
+
+@query("stratified_kfold_shuffled", f"{_shuffled_sql(3, _BY_SEGMENT, 'c_mktsegment, rid')} SELECT c_custkey, (place % 5)::INT AS fold FROM p JOIN r USING (rid)")
+def stratified_kfold_shuffled(spark, d):
+    return splits.StratifiedKFold(5, True, 3).assign(_customers(spark, d), "c_mktsegment").select("c_custkey", "fold")
 
 
 @query("kfold", f"SELECT o_orderkey, (CASE WHEN rid < (n % 7) * (n // 7 + 1) THEN rid // (n // 7 + 1) ELSE (rid - (n % 7) * (n // 7 + 1)) // (n // 7) + n % 7 END)::INT AS fold FROM {_RID}")
@@ -643,11 +736,17 @@ def stratified_kfold(spark, d):
     return splits.StratifiedKFold(5).assign(_numbered(spark, d), "o_orderstatus").select("o_orderkey", "fold")
 
 
-@query("cross_val_score")
+_FOLDS = f"""WITH r AS (SELECT l_quantity x, l_discount z, l_extendedprice y, row_number() OVER (ORDER BY {KEYS}) - 1 AS rid, count(*) OVER () AS n FROM lineitem),
+  f AS (SELECT *, (CASE WHEN rid < (n % 3) * (n // 3 + 1) THEN rid // (n // 3 + 1) ELSE (rid - (n % 3) * (n // 3 + 1)) // (n // 3) + n % 3 END)::INT AS fold FROM r),
+  s AS (SELECT k AS fold, covar_pop(x, x) a, covar_pop(z, z) c, covar_pop(x, z) b, covar_pop(x, y) u, covar_pop(z, y) v, avg(x) mx, avg(z) mz, avg(y) my FROM f, range(3) g(k) WHERE f.fold <> k GROUP BY k),
+  b AS (SELECT fold, (u * c - v * b) / (a * c - b * b) b0, (a * v - b * u) / (a * c - b * b) b1, mx, mz, my FROM s)"""
+
+
+@query("cross_val_score", f"{_FOLDS} SELECT fold, {rnd('1 - sum(pow(y - (my + b0 * (x - mx) + b1 * (z - mz)), 2)) / (var_pop(y) * count(*))', 'score', 5)} FROM f JOIN b USING (fold) GROUP BY fold")
 def cross_val_score(spark, d):
     df = stats.with_rid(lineitem(spark, d), KEY)
     scores = splits.cross_val_score(linear.LinearRegression(), df, ["l_quantity", "l_discount"], "l_extendedprice", splits.KFold(3))
-    return rounded(rows_of(spark, [(i, s) for i, s in enumerate(scores)], "fold int, score double"))
+    return rounded(rows_of(spark, [(i, s) for i, s in enumerate(scores)], "fold int, score double"), n=5)
 
 
 # Composition
@@ -814,16 +913,40 @@ def quality_findings(spark, d):
     return rows_of(spark, [(f.kind, f.severity, f.column) for f in profile.run_checks(p)], "kind string, severity string, column string")
 
 
-@query("report_html")
+@query("quality_findings_more", "SELECT * FROM (VALUES ('HighMissing', 'Critical', 'miss'), ('Outliers', 'Info', 'far'), ('Imbalance', 'Critical', 'flag'), ('DuplicateRows', 'Warning', NULL), ('Imbalance', 'Critical', 'flag')) v(kind, severity, \"column\")")
+def quality_findings_more(spark, d):
+    k = F.col("c_custkey")
+    df = t(spark, d, "customer").select(
+        "c_custkey", F.when(k % 20 == 0, F.col("c_acctbal")).alias("miss"), F.when(k % 10 == 0, F.lit(1e9) + k).otherwise(F.col("c_acctbal")).alias("far"),
+        F.when(k % 50 == 0, "y").otherwise("n").alias("flag"), (k % 5).cast("double").alias("five"),
+    )
+    found = [f for cols in (["miss", "far"], ["five"]) for f in profile.run_checks(profile.profile(df, cols, ["flag"], rid="c_custkey")) if f.kind not in ("HighCorrelation",)]
+    return rows_of(spark, [(f.kind, f.severity, f.column) for f in found], "kind string, severity string, column string")
+
+
+_CARDS = """SELECT 'n_regionkey' AS name, 'numeric' AS kind, count(*)::VARCHAR AS "count", printf('%.4f', avg(n_regionkey)) AS mean, printf('%.4f', stddev_samp(n_regionkey)) AS std, printf('%.4f', quantile_cont(n_regionkey, 0.5)) AS median, NULL AS "unique" FROM nation
+  UNION ALL SELECT 'n_name', 'categorical', count(*)::VARCHAR, NULL, NULL, NULL, count(DISTINCT n_name)::VARCHAR FROM nation"""
+_FIELDS = ("mean", "std", "median", "unique")
+
+
+def _nations(spark, d) -> profile.DatasetProfile:
+    return profile.profile(t(spark, d, "nation"), ["n_regionkey"], ["n_name"], rid="n_nationkey")
+
+
+@query("report_html", _CARDS)
 def report_html(spark, d):
-    p = profile.profile(t(spark, d, "nation"), ["n_regionkey"], ["n_name"], rid="n_nationkey")
-    return rows_of(spark, [(report.to_html(p),)], "html string")
+    """What the page's cards say of each column."""
+    page = report.to_html(_nations(spark, d))
+    cards = [dict([("name", name), *re.findall("<tr><td>([^<]*)</td><td>([^<]*)</td></tr>", body)]) for name, body in re.findall(r'<div class="card"><h3>([^<]*)</h3><table>(.*?)</table>', page)]
+    return rows_of(spark, [(c["name"], c["type"], c["count"], *(c.get(k) for k in _FIELDS)) for c in cards], "name string, kind string, count string, " + ", ".join(f"{k} string" for k in _FIELDS))
 
 
-@query("report_json")
+@query("report_json", _CARDS)
 def report_json(spark, d):
-    p = profile.profile(t(spark, d, "nation"), ["n_regionkey"], ["n_name"], rid="n_nationkey")
-    return rows_of(spark, [(report.to_json(p),)], "json string")
+    """The same from the JSON report."""
+    columns = json.loads(report.to_json(_nations(spark, d)))["profile"]["columns"]
+    told = [(c, {**{k: report.number(v) for k, v in (c["numeric"] or {}).items() if k in _FIELDS}, **({"unique": str(c["categorical"]["unique"])} if c["categorical"] else {})}) for c in columns]
+    return rows_of(spark, [(c["name"], c["column_type"], str(c["count"]), *(f.get(k) for k in _FIELDS)) for c, f in told], "name string, kind string, count string, " + ", ".join(f"{k} string" for k in _FIELDS))
 
 
 @query("model_roundtrip", f"WITH s AS (SELECT avg(l_tax) m, stddev_pop(l_tax) s FROM lineitem) SELECT {KEYS}, {rnd('(l_tax - m) / s', 'l_tax')} FROM lineitem, s")
