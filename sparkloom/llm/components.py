@@ -21,7 +21,9 @@ def hub_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, to
     on = [F.col(k) == F.col(f"__{k}") for k in keys]
     salt = F.when(F.col("__hub").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.lit(1024)) + 1).otherwise(F.lit(0))
     salted = left.join(F.broadcast(hubs), on, "left").withColumn("__salt", salt)
-    light = right.where(F.col(weight) <= heavy).withColumns({"__salt": F.lit(0).cast("bigint"), "__light": F.lit(1)})
+    # 0, but no literal: one would be taken out of the join's keys, and the salt with it.
+    none = F.coalesce(F.pmod(F.xxhash64(*keys), F.lit(1)), F.lit(0))
+    light = right.where(F.col(weight) <= heavy).withColumns({"__salt": none, "__light": F.lit(1)})
     both = salted.join(light, [*keys, "__salt"], "left").where("__hub is not null or __light is not null")
     return both.select(*left.columns, *(F.when(F.col("__hub").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in values))
 
@@ -46,26 +48,28 @@ def _stars(edges: DataFrame, small: bool, total: int) -> DataFrame:
     return moved.where("a != b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (a, b) are stars around their b: each a has one edge and is no other's b."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("x"))
+    return ends.groupBy("x.node").agg(F.sum("x.up").alias("up"), F.max("x.down").alias("down")).where((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0))).isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame | None:
     """Rows (node, component) for every node of edges (a, b); component is the smallest node. None without edges.
 
     Every round shuffles the edges and writes them to the shared folder; rounds grow with the logarithm of the
     longest path. Nulls and loops are ignored; repeated edges and both directions count once.
     """
-    now = stage(edges.select("a", "b").where("a is not null and b is not null and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    count, seen = now.count(), None
+    now = stage(edges.select("a", "b").where("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    count = now.count()
     if not count:
         unstage(now)
         return None
-    while True:
+    while not _settled(now):
         large = stage(_stars(now, False, count), "edges")
-        after = stage(_stars(large, True, large.count()), "edges")
+        after = stage(_stars(large, True, 2 * count), "edges")  # a node's edge to its minimum and one for each of the large star's
         unstage(now)
         unstage(large)
-        now = after
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen, count = mark, mark[0]
+        now, count = after, after.count()
     # Stars at last: each node has one edge, to the smallest node of its component.
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
