@@ -60,7 +60,7 @@ def repeat_words(words: Column) -> Column:
 
 
 def measures(text: Column) -> Column:
-    """Struct of the counts that rules go by, over the whole text; all zero for a text without words."""
+    """Struct of the counts that rules go by, over the whole text; all zero for a text without words. n_stops: different stop words."""
 
     def lines(full: Column) -> Column:
         return F.struct(F.size(full).alias("n_lines"), (F.size(full) - F.size(F.array_distinct(full))).alias("n_dup_lines"))
@@ -68,15 +68,15 @@ def measures(text: Column) -> Column:
     def count(w: Column) -> Column:
         full = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-        def put(of: Column) -> Column:
+        def put(of: Column, words: Column) -> Column:
             values = {
                 "n_words": F.size(w), "word_chars": F.length(F.array_join(w, "")), "n_symbols": _count(text, SYMBOLS), "n_dup_lines": of["n_dup_lines"],
-                "n_repeat_words": repeat_words(w), "n_lines": of["n_lines"], "n_bangs": _count(text, "!"), "n_distinct": F.size(F.array_distinct(w)),
-                "n_stops": F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))), "ends": F.right(F.rtrim(text, F.lit(" \t\n\x0b\f\r")), F.lit(2)).rlike(r"[.!?][\"')]?$").cast("int"),
+                "n_repeat_words": repeat_words(w), "n_lines": of["n_lines"], "n_bangs": _count(text, "!"), "n_distinct": F.size(words),
+                "n_stops": F.size(F.array_intersect(words, F.array(*map(F.lit, STOP_WORDS)))), "ends": F.right(F.rtrim(text, F.lit(" \t\n\x0b\f\r")), F.lit(2)).rlike(r"[.!?][\"')]?$").cast("int"),
             }
             return F.struct(*(v.cast("bigint").alias(k) for k, v in values.items()))
 
-        return let(let(full, lines), put)
+        return let(F.struct(let(full, lines).alias("lines"), F.array_distinct(w).alias("words")), lambda x: put(x["lines"], x["words"]))
 
     return let(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+", -1), ""), count)
 
@@ -95,7 +95,7 @@ RULES = (
     Rule("length", "n_words < 20", "n_words >= 100"),
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 8 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
-    Rule("stop_words", "50 * n_stops < n_words", "12 * n_stops >= n_words"),
+    Rule("stop_words", "n_stops < 3 and n_words >= 50", "n_stops >= 6"),
     Rule("lines", "2 * n_dup_lines > n_lines", "n_dup_lines = 0"),
     Rule("repetition", "10 * n_repeat_words > 3 * n_words", "10 * n_repeat_words <= n_words"),
     Rule("exclamation", "5 * n_bangs > n_words", "50 * n_bangs <= n_words"),
