@@ -378,12 +378,51 @@ def test_neighbours_of_small_clusters(spark):
     by = defaultdict(list)
     for r in got:
         by[r["query_id"]].append(r["vec_id"])
-    assert {r["visits"] for r in got} == {1} and set(by) == set(range(0, 412, 20))
+    assert set(by) == set(range(0, 412, 20))
     assert all(len(found) == 20 and q not in found for q, found in by.items())
+    other = annsearch.nearest_neighbours(spark.createDataFrame([*rows[:60], (1000, [1.0] * 7), (1001, [1.0] * 9)], "vec_id long, embedding array<double>"))
+    assert {r["query_id"] for r in other.collect()} == set(range(60)) >= {r["vec_id"] for r in other.collect()}  # vectors of another length take no part
     few = annsearch.nearest_neighbours(spark.createDataFrame(rows[395:], "vec_id long, embedding array<double>")).groupBy("query_id").count()
     assert {r["query_id"]: r["count"] for r in few.collect()} == {i: 16 if i == 400 else 20 for i in range(395, 412)}
 
 
+def test_clustered_vectors_are_searched_in_few_leaves(spark, monkeypatch):
+    monkeypatch.setattr(annsearch, "LEAF", 40)
+    monkeypatch.setattr(annsearch, "BLOCK", 100)
+    monkeypatch.setattr(annsearch, "ASKING", 7)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 12)) * 8
+    x = centres[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, 12)) * 0.3
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = annsearch.nearest_neighbours(df, F.col("vec_id") % 20 == 0).collect()
+    got = defaultdict(dict)
+    for r in rows:
+        got[r["query_id"]][r["rank"]] = (r["vec_id"], r["score"])
+    hits = 0
+    for q in range(0, 3000, 20):
+        s = x @ x[q]
+        order = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:20]
+        assert sorted(got[q]) == list(range(1, 21))
+        hits += len(set(order) & {v for v, _ in got[q].values()})
+    assert hits / (20 * 150) >= annsearch.PROMISED and rows[0]["recall"] >= annsearch.AIM
+    sample = x[::3]
+    tree = annsearch.fit_tree(sample, 75)
+    leaf = tree.file(x)
+    off = np.linalg.norm(x - tree.centres[tree.ends()[leaf]], axis=1)
+    farthest = np.array([off[leaf == i].max(initial=0) for i in range(tree.n_leaves)])
+    sizes = np.bincount(leaf, minlength=tree.n_leaves)
+    tree.widen(farthest, 1.0)
+    seen = []
+    for q in range(0, 3000, 60):  # the whole reach finds all, among few leaves
+        enough = annsearch.offered(np.array([q]), x[q : q + 1], np.arange(0, 3000, 3), sample, 20)[0]
+        visits = tree.visits(x[q], enough, sizes, 21)
+        s = x @ x[q]
+        order = [i for i in np.lexsort((np.arange(3000), -s)) if i != q][:20]
+        assert {int(leaf[i]) for i in order} <= set(visits)
+        seen.append(len(visits))
+    assert np.mean(seen) < tree.n_leaves / 4
+
+
 def test_urls(spark):
     html = '<link href="{}" rel=canonical>'
     pages = [
