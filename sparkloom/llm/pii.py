@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from .secrets import digest
-from .shared import SPANS, apart_from, around, blocks_of, fresh, let, own, spans
+from .shared import SPANS, apart_from, around, blocks_of, fresh, held, let, own, spans
 
 # Fixed patterns of the base kinds, in their order. They find the leftmost non-overlapping matches of the plain
 # patterns in time linear in the text: possessive repeats need no stack, and a match starts only where a run does
@@ -164,8 +164,8 @@ def with_spans(docs: DataFrame, name: str) -> DataFrame:
     # In steps of their own, as expressions can't nest at will.
     known, more = fresh(docs, "__known", "__more")
     base, added = _proposed(F.coalesce("text", F.lit("")))
-    both = docs.select(*own(docs), base.alias(known), added.alias(more))
-    return both.select(*own(docs), F.sort_array(F.concat(known, apart_from(F.col(known), F.col(more)))).alias(name))
+    both = docs.select(*own(docs), held(base).alias(known), held(added).alias(more))
+    return both.select(*own(docs), held(F.sort_array(F.concat(known, apart_from(F.col(known), F.col(more))))).alias(name))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -224,7 +224,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     an empty table give the like.
     """
     name, reach, places = fresh(docs, "__pii", "__reach", "__places")
-    found = with_spans(docs, name).withColumn(reach, _reach(F.transform(name, lambda s: s["end"]))).withColumn(places, _places(F.col(name), F.col(reach)))
+    found = with_spans(docs, name).withColumn(reach, held(_reach(F.transform(name, lambda s: s["end"])))).withColumn(places, held(_places(F.col(name), F.col(reach))))
     out = found.select(*(_rebuilt(col, F.col(places)).alias(c) if c == "text" else col for c, col in zip(docs.columns, own(docs), strict=True)))
     if "n_chars" in docs.columns and isinstance(kind := docs.schema["n_chars"].dataType, IntegralType):
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(kind), "n_chars"))

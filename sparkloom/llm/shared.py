@@ -28,14 +28,41 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of the staged tables that are still there, oldest first.
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: cuts lineage and survives lost executors."""
+    """Write df as Parquet to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    The table stays until unstage() or settled() remove it, as lazy results read it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """stage(df), then remove the tables staged from number `since` on that it was made from."""
+    out = stage(df, name)
+    for path in _STAGED[since:-1]:
+        _remove(df.sparkSession, path)
+    del _STAGED[since:-1]
+    return out
+
+
+def staged() -> int:
+    """How many staged tables there are."""
+    return len(_STAGED)
+
+
 def lay_out(df: DataFrame, n: int, key: str) -> DataFrame:
     """df in n partitions by key, checkpointed: later groupings by key alone find their rows in place.
 
@@ -53,11 +80,11 @@ def lay_out(df: DataFrame, n: int, key: str) -> DataFrame:
 
 def unstage(df: DataFrame) -> None:
     """Remove the files of a staged table that nothing lazy reads any more."""
-    spark = df.sparkSession
     files = df.inputFiles()
     if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = files[0].rsplit("/", 1)[0]
+        _remove(df.sparkSession, path)
+        _STAGED[:] = [p for p in _STAGED if p.rsplit("/", 1)[1] != path.rsplit("/", 1)[1]]
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -90,6 +117,12 @@ def own(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def held(value: Column) -> Column:
+    """value as it is, but as the optimizer mustn't move it: a filter above would else copy it, expressions within
+    expressions, wherever it is used."""
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once, however often body uses it, also inside lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -558,7 +558,52 @@ def test_pipeline(spark, tmp_path):
     assert clean.count() == one.count() and not clean.where("text like '%@mail%'").count()
     mixed = corpus_pipeline.mix(spark, clean, str(folder))
     assert mixed.columns == docs.columns
-    assert corpus_pipeline.run(spark, str(folder)).count() > 0
+    counts = {(r["doc_id"], r["text"]): r["n"] for r in mixed.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(counts) <= {(r["doc_id"], r["text"]) for r in clean.collect()}
+    rows = corpus_pipeline.run(spark, str(folder)).collect()
+    tokenizer = PieceTokenizer(packing.vocabulary()).tokenizer
+    want = sorted((d, zlib.crc32(np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 1], dtype="<u4").tobytes())) for (d, text), n in counts.items() for _ in range(n) if len(text) < 2000)
+    got = sorted((r["doc_id"], r["ids_crc32"]) for r in rows if r["doc_tokens"] == r["length"])
+    assert set(want) <= set(got) and len(got) >= len(want) and {r["doc_id"] for r in rows} == {d for d, _ in counts}
+    assert sum(r["length"] for r in rows if r["start"] == 0) + sum(r["length"] for r in rows if r["start"]) == sum(r["doc_tokens"] for r in rows if r["start"] == 0)
+
+
+def test_repeated_and_odd_rows(spark):
+    """Rows that repeat, without id, with very long texts and clashing columns are judged like any other, one result row each."""
+    secret, mail = "token=abcdefgh1", "write to a.b@c.example now"
+    texts = [secret, secret, mail, mail, None, None, "", "word " * 200_000, "x" * 300_000, "a-1-" * 50_000, "\n" * 100_000, "# " * 50_000]
+    ids = [1, 1, 2, None, None, 3, 3, 4, 5, 6, 7, 8]
+    df = spark.createDataFrame([(i, t, "s", 0, "u", 1, 2, 3) for i, t in zip(ids, texts, strict=True)], "doc_id long, text string, source string, n_chars int, spans string, pii int, `__m` int, `a.b` int")
+    for f in (secrets.scan_secrets, pii.find_pii, quality.score_quality, licenses.scan_licenses, nearcopies.link_documents, substring.remove_repeats):
+        assert sorted(str(r["doc_id"]) for r in f(df).select("doc_id").collect()) == sorted(map(str, ids)), f
+    found = secrets.scan_secrets(df).collect()
+    assert [len(r["secrets"]) for r in found if r["doc_id"] == 1] == [1, 1]
+    found = pii.find_pii(df).collect()
+    assert [len(r["pii"]) for r in found if r["text"] == mail] == [1, 1]
+    clean = pii.mask_pii(df)
+    assert clean.columns == df.columns and sorted(r["n_chars"] for r in clean.where("text like '%<EMAIL>%'").collect()) == [len(mail) - len("a.b@c.example") + 7] * 2
+    assert mixing.mix_sources(df).columns == [*df.columns, "copy", "shuffle_key"] and mixing.mix_sources(df, volume=3.0).count() > 0
+    assert quality.filter_quality(df).columns == nearcopies.keep_one_of_each(df).columns == df.columns
+    gone = {(r["doc_id"], r["n_words"]): r["n_removed"] for r in substring.remove_repeats(df).collect()}
+    assert gone[4, 200_000] == 200_000 and gone[8, 50_000] == 50_000 and gone[1, 1] == 0
+    packed = packing.pack_documents(df).collect()
+    assert sum(r["length"] for r in packed) == sum(r["doc_tokens"] for r in packed if r["start"] == 0)
+
+
+def test_entry_without_llm(tmp_path):
+    """With this subpackage, its tests and the pipeline gone, the entry module still gives the other queries."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    shutil.copytree(root / "sparkloom", tmp_path / "sparkloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(root / name, tmp_path / name)
+    ask = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), len(o), any(n.startswith('op') or n == 'pipeline' for n in q))"
+    out = subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
+    assert int(out[0]) > 90 and int(out[1]) > 90 and out[2] == "False"
 
 
 def test_words():
