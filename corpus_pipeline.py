@@ -13,7 +13,7 @@ from sparkloom.llm.nearcopies import keep_one_of_each
 from sparkloom.llm.packing import pack_documents
 from sparkloom.llm.pii import mask_pii
 from sparkloom.llm.quality import filter_quality
-from sparkloom.llm.shared import stage
+from sparkloom.llm.shared import settled, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,10 +48,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written to the shared folder and read again."""
+    """All stages over the documents of sf_dir, each written to the shared folder and read again; what only a stage itself needed goes."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    begin = staged()
     for i, (_, step) in enumerate(STAGES):
         docs = step(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = stage(docs, f"stage{i}")
+            docs = settled(docs, f"stage{i}", begin)
     return docs
