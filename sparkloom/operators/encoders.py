@@ -264,7 +264,8 @@ class TargetEncoder(Estimator):
         y = F.col(f"`{target}`").cast("double")
         plan = FitPlan()
         plan.guard(target)
-        mean = plan.run(df.select(target)).found and df.agg(F.avg(y)).first()[0]
+        plan.ask("mean", F.avg(y))
+        mean = plan.run(df.select(F.col(f"`{target}`")))["mean"]
         found = _grouped(df, cols, F.count(F.lit(1)).alias("n"), F.avg(y).alias("m"))
         s = self.smoothing
         values = [{k: (n * m + s * mean) / (n + s) for k, (n, m) in f.items()} for f in found]

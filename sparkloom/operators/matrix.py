@@ -42,11 +42,63 @@ def from_columns(spark, columns: dict[str, list[float]]) -> DataFrame:
     return spark.createDataFrame(rows, "rid bigint, " + ", ".join(f"`{c}` double" for c in columns))
 
 
+def from_rows(spark, rows: list[list[float]], names: list[str]) -> DataFrame:
+    """A DataFrame with a rid from equally long rows."""
+    if not rows or any(len(r) != len(names) for r in rows):
+        raise ShapeMismatch(f"rows of {len(names)} values, one at least, are needed")
+    return spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "rid bigint, " + ", ".join(f"`{c}` double" for c in names))
+
+
+def zeros(spark, rows: int, names: list[str]) -> DataFrame:
+    """A DataFrame of zeros with a rid; its rows are made where they are needed."""
+    if rows < 1 or not names:
+        raise ShapeMismatch("a row and a column at least are needed")
+    return spark.range(rows).select(F.col("id").alias("rid"), *(F.lit(0.0).alias(c) for c in names))
+
+
+def identity(spark, names: list[str]) -> DataFrame:
+    """The identity matrix with a rid."""
+    if not names:
+        raise ShapeMismatch("a column at least is needed")
+    return spark.range(len(names)).select(F.col("id").alias("rid"), *(F.when(F.col("id") == i, 1.0).otherwise(0.0).alias(c) for i, c in enumerate(names)))
+
+
+def cell(df: DataFrame, rid_value: int, column: str, rid: str = "rid"):
+    """The value of one cell, a number or a string."""
+    if column not in df.columns:
+        raise ShapeMismatch(f"no column {column}")
+    found = df.where(F.col(rid) == rid_value).select(F.col(f"`{column}`")).first()
+    if found is None:
+        raise ShapeMismatch(f"no row {rid_value}")
+    return found[0]
+
+
+def row(df: DataFrame, rid_value: int, cols: list[str], rid: str = "rid") -> list:
+    """The values of one row."""
+    found = df.where(F.col(rid) == rid_value).select(*(F.col(f"`{c}`") for c in cols)).first()
+    if found is None:
+        raise ShapeMismatch(f"no row {rid_value}")
+    return list(found)
+
+
+def column(df: DataFrame, name: str, rid: str = "rid") -> DataFrame:
+    """(rid, value) of one column, of numbers or strings."""
+    if name not in df.columns:
+        raise ShapeMismatch(f"no column {name}")
+    return df.select(F.col(rid).alias("rid"), F.col(f"`{name}`").alias("value"))
+
+
+def transposed_cells(df: DataFrame, cols: list[str], rid: str = "rid") -> DataFrame:
+    """(row, col, value) of the transpose, for any number of rows: row is the number of a column of df, col its rid."""
+    items = F.array(*(F.struct(F.lit(i).cast("bigint").alias("row"), num(c).alias("value")) for i, c in enumerate(cols)))
+    return df.select(F.col(rid).cast("bigint").alias("col"), F.inline(items)).select("row", "col", "value")
+
+
 def transpose(df: DataFrame, cols: list[str], rid: str = "rid", most: int = 10_000) -> DataFrame:
-    """(column, values): one row for each column with its values by rid, for up to `most` rows."""
+    """(column, values): one row for each column with its values by rid, for up to `most` rows; transposed_cells() takes any number."""
     n = df.count()
     if n > most:
-        raise InvalidInput(f"a transpose of more than {most} rows")
+        raise InvalidInput(f"a row of more than {most} values; transposed_cells() takes any number")
     items = F.array(*(F.struct(F.lit(c).alias("column"), num(c).alias("v")) for c in cols))
     long = df.select(F.col(rid).alias("__rid"), F.inline(items))
     return long.groupBy("column").agg(F.transform(F.sort_array(F.collect_list(F.struct("__rid", "v"))), lambda x: x["v"]).alias("values"))
@@ -71,3 +123,17 @@ def density(sparse: DataFrame, n_rows: int) -> float:
     """Share of cells that are held."""
     row = sparse.agg(F.sum(F.size("indices")).alias("n"), F.max("size").alias("size")).first()
     return (row["n"] or 0) / (n_rows * row["size"]) if row["size"] else 0.0
+
+
+def sparse_get(sparse: DataFrame, row_value: int, col: int) -> float:
+    """A cell of (row, size, indices, values); 0 where none is held."""
+    found = sparse.where(F.col("row") == row_value).select("size", F.get("values", (F.array_position("indices", F.lit(col).cast("int")) - 1).cast("int")).alias("v")).first()
+    if found is not None and not 0 <= col < found["size"]:
+        raise ShapeMismatch(f"no column {col}")
+    return 0.0 if found is None or found["v"] is None else found["v"]
+
+
+def row_nz(sparse: DataFrame, row_value: int) -> list[tuple[int, float]]:
+    """Columns and values that a row of a sparse matrix holds."""
+    found = sparse.where(F.col("row") == row_value).select("indices", "values").first()
+    return [] if found is None else list(zip(found["indices"], found["values"], strict=True))

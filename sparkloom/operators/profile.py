@@ -35,6 +35,15 @@ class NumericStats:
     outlier_count: int
     outlier_fraction: float
 
+    @property
+    def n_bins(self) -> int:
+        return len(self.counts)
+
+    @property
+    def max_count(self) -> int:
+        """Rows of the fullest bin."""
+        return max(self.counts, default=0)
+
 
 @dataclass
 class CategoricalStats:
@@ -175,30 +184,43 @@ def categorical_stats(df: DataFrame, cols: list[str], rid: str) -> dict[str, Cat
     return {c: CategoricalStats(sums[c]["unique"], top[c][0][0], top[c][0][1], top[c][0][1] / sums[c]["total"], top[c]) if c in top else None for c in cols}
 
 
+def _values(c: str) -> Column:
+    """The trimmed string of a column; null where it is missing."""
+    s = F.col(f"`{c}`").cast("string")
+    return F.when(~is_missing(s), trimmed(s))
+
+
+def cramers_all(df: DataFrame, cols: list[str]) -> dict[tuple[str, str], float]:
+    """Cramér's V of each two columns, without bias correction, in one pass of counts; rows with either missing are left out."""
+    pairs = [(i, j) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+    if not pairs:
+        return {}
+    plain = df.select(*(_values(c).alias(f"s{i}") for i, c in enumerate(cols)))
+    items = F.array(*(F.struct(F.lit(p).alias("p"), F.col(f"s{i}").alias("x"), F.col(f"s{j}").alias("y")) for p, (i, j) in enumerate(pairs)))
+    cells = plain.select(F.inline(items)).where("x is not null and y is not null").groupBy("p", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    rows = cells.groupBy("p", "x").agg(F.sum("n").alias("nx"))
+    columns = cells.groupBy("p", "y").agg(F.sum("n").alias("ny"))
+    share = F.col("n") * F.col("n") / (F.col("nx") * F.col("ny"))
+    sums = {r["p"]: r for r in cells.join(rows, ["p", "x"]).join(columns, ["p", "y"]).groupBy("p").agg(F.sum(share).alias("s"), F.sum("n").alias("n")).collect()}
+    levels = {(r["p"], r["side"]): r["levels"] for r in rows.select("p", F.lit(0).alias("side")).unionByName(columns.select("p", F.lit(1).alias("side"))).groupBy("p", "side").agg(F.count(F.lit(1)).alias("levels")).collect()}
+    out = {}
+    for p, (i, j) in enumerate(pairs):
+        least = min(levels.get((p, side), 0) for side in (0, 1))
+        n = sums[p]["n"] if p in sums else 0
+        out[cols[i], cols[j]] = 0.0 if least < 2 else min(1.0, math.sqrt(max(0.0, sums[p]["s"] * n - n) / (n * (least - 1))))
+    return out
+
+
 def cramers_v(df: DataFrame, a: str, b: str) -> float:
-    """Association of two categorical columns, without bias correction; rows with either missing are left out."""
-    x, y = (F.when(~is_missing(F.col(f"`{c}`").cast("string")), trimmed(F.col(f"`{c}`").cast("string"))) for c in (a, b))
-    cells = df.select(x.alias("x"), y.alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    rows = cells.groupBy("x").agg(F.sum("n").alias("nx"))
-    cols = cells.groupBy("y").agg(F.sum("n").alias("ny"))
-    sums = cells.join(rows, "x").join(cols, "y").agg(F.sum(F.col("n") * F.col("n") / (F.col("nx") * F.col("ny"))).alias("s"), F.sum("n").alias("n")).first()
-    levels = min(rows.count(), cols.count())
-    if levels < 2:
-        return 0.0
-    n = sums["n"]
-    return min(1.0, math.sqrt(max(0.0, sums["s"] * n - n) / (n * (levels - 1))))
+    """Association of two categorical columns."""
+    return cramers_all(df, [a, b])[a, b]
 
 
-def point_biserial(df: DataFrame, categorical: str, numeric: str | Column, rid: str) -> float | None:
-    """Correlation of a number with a categorical column of exactly two values, the first seen as 0; None where undefined."""
-    s = F.col(f"`{categorical}`").cast("string")
-    v = _finite(num(numeric)) if isinstance(numeric, str) else numeric
-    groups = df.where(~is_missing(s)).groupBy(trimmed(s).alias("k")).agg(F.min(f"`{rid}`").alias("first"), F.count(v).alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("v")).orderBy("first").limit(3).collect()
-    if len(groups) != 2 or not groups[0]["n"] or not groups[1]["n"]:
-        return None
-    (n0, m0, v0), (n1, m1, v1) = ((g["n"], g["m"], g["v"]) for g in groups)
+def _biserial(groups: list) -> float | None:
+    """From (n, mean, variance) of the two groups in order."""
+    (n0, m0, v0), (n1, m1, v1) = groups
     n = n0 + n1
-    if n < 3:
+    if not n0 or not n1 or n < 3:
         return None
     mean = (n0 * m0 + n1 * m1) / n
     squares = n0 * (v0 + (m0 - mean) ** 2) + n1 * (v1 + (m1 - mean) ** 2)
@@ -207,6 +229,33 @@ def point_biserial(df: DataFrame, categorical: str, numeric: str | Column, rid:
     return max(-1.0, min(1.0, (m1 - m0) / math.sqrt(squares / (n - 1)) * math.sqrt(n0 * n1 / (n * (n - 1)))))
 
 
+def biserial_all(df: DataFrame, categorical: list[str], values: dict[str, Column], rid: str) -> dict[tuple[str, str], float | None]:
+    """Correlation of each number with each categorical column of exactly two values, the first seen as 0; None where undefined.
+
+    One pass finds the columns of two values, one takes all moments.
+    """
+    if not categorical or not values:
+        return {}
+    unique = {r["column"]: r["n"] for r in value_counts(df, categorical, rid).groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    binary = [c for c in categorical if unique.get(c) == 2]
+    if not binary:
+        return {}
+    names = list(values)
+    items = F.array(*(F.struct(F.lit(c).alias("c"), _values(c).alias("k")) for c in binary))
+    plain = df.select(F.col(f"`{rid}`").alias("__rid"), *(v.alias(f"v{i}") for i, v in enumerate(values.values())), items.alias("__items")).select("*", F.inline("__items"))
+    asks = [f(f"v{i}").alias(f"{k}{i}") for i in range(len(names)) for k, f in (("n", F.count), ("m", F.avg), ("s", F.var_pop))]
+    groups: dict[str, list] = {}
+    for r in plain.where("k is not null").groupBy("c", "k").agg(F.min("__rid").alias("first"), *asks).orderBy("c", "first").collect():
+        groups.setdefault(r["c"], []).append(r)
+    return {(c, v): _biserial([(g[f"n{i}"], g[f"m{i}"], g[f"s{i}"]) for g in groups[c]]) for c in binary for i, v in enumerate(names)}
+
+
+def point_biserial(df: DataFrame, categorical: str, numeric: str | Column, rid: str) -> float | None:
+    """Correlation of a number with a categorical column of exactly two values; None where undefined."""
+    v = _finite(num(numeric)) if isinstance(numeric, str) else numeric
+    return biserial_all(df, [categorical], {"v": v}, rid).get((categorical, "v"))
+
+
 def profile(df: DataFrame, numeric: list[str] | None = None, strings: list[str] | None = None, target: str | None = None, rid: str | None = None) -> DatasetProfile:
     """Profile these columns (all, by type, if none are named).
 
@@ -253,22 +302,11 @@ def associations(df: DataFrame, values: dict[str, Column], categorical: list[str
         plain = df.select(*(v.alias(c) for c, v in values.items()))
         r = correlation(plain, names)
         out += [Association("pearson", a, b, float(r[i, j])) for i, a in enumerate(names) for j, b in enumerate(names) if i < j]
-    out += [Association("cramers_v", a, b, cramers_v(df, a, b)) for i, a in enumerate(categorical) for b in categorical[i + 1 :]]
-    for c in categorical:
-        for name, v in values.items():
-            r = point_biserial(df, c, v, rid)
-            if r is not None:
-                out.append(Association("point_biserial", c, name, r))
-            elif r is None and name == names[0] and not _binary(df, c):
-                break
+    out += [Association("cramers_v", a, b, v) for (a, b), v in cramers_all(df, categorical).items()]
+    out += [Association("point_biserial", c, name, v) for (c, name), v in biserial_all(df, categorical, values, rid).items() if v is not None]
     return out
 
 
-def _binary(df: DataFrame, c: str) -> bool:
-    s = F.col(f"`{c}`").cast("string")
-    return df.where(~is_missing(s)).select(trimmed(s)).distinct().limit(3).count() == 2
-
-
 @dataclass
 class Thresholds:
     missing_fraction: float = 0.5

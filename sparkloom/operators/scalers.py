@@ -274,15 +274,19 @@ class KBinsDiscretizer(Estimator):
                 centres.append(s)
         if len(centres) < 2:
             return [low]
-        for _ in range(50):
-            x = _c(c)
-            near = F.array_position(F.transform(F.array(*map(F.lit, centres)), lambda m: F.abs(x - m)), F.array_min(F.transform(F.array(*map(F.lit, centres)), lambda m: F.abs(x - m)))) - 1
-            means = {r["g"]: r["m"] for r in df.select(near.alias("g"), x.alias("x")).groupBy("g").agg(F.avg("x").alias("m")).collect()}
-            after = [means.get(i, m) for i, m in enumerate(centres)]
-            still = all(abs(a - b) <= 1e-12 for a, b in zip(after, centres, strict=True))
-            centres = after
-            if still:
-                break
+        values = df.select(_c(c).alias("x")).persist()
+        try:
+            for _ in range(50):
+                apart = F.transform(F.array(*map(F.lit, centres)), lambda m: F.abs(F.col("x") - m))
+                near = F.array_position(apart, F.array_min(apart)) - 1
+                means = {r["g"]: r["m"] for r in values.groupBy(near.alias("g")).agg(F.avg("x").alias("m")).collect()}
+                after = [means.get(i, m) for i, m in enumerate(centres)]
+                still = all(abs(a - b) <= 1e-12 for a, b in zip(after, centres, strict=True))
+                centres = after
+                if still:
+                    break
+        finally:
+            values.unpersist()
         centres.sort()
         return [low, *((a + b) / 2 for a, b in itertools.pairwise(centres)), high]
 
@@ -299,9 +303,14 @@ class QuantileModel(Model):
             if n == 1:
                 p = x * 0.0 + 0.5
             else:
-                # One pair of neighbouring references holds x: the last at or under it, and the next.
-                steps = F.array(*(F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(i).alias("i")) for i, (a, b) in enumerate(itertools.pairwise(refs))))
-                within = F.element_at(F.filter(steps, lambda s: (s["a"] <= x) & (x < s["b"])), 1)
+                # One pair of neighbouring references holds x: the last at or under it, and the next. It is looked for
+                # in the last block that begins at or under x.
+                steps = [F.struct(F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b"), F.lit(i).alias("i")) for i, (a, b) in enumerate(itertools.pairwise(refs))]
+                wide = max(1, math.isqrt(len(steps)))
+                starts = F.array(*(F.lit(float(refs[i])) for i in range(0, len(steps), wide)))
+                blocks = F.array(*(F.array(*steps[i : i + wide]) for i in range(0, len(steps), wide)))
+                block = F.get(blocks, F.size(F.filter(starts, lambda a: a <= x)) - 1)
+                within = F.get(F.filter(block, lambda s: (s["a"] <= x) & (x < s["b"])), F.lit(0))
                 width = within["b"] - within["a"]
                 share = F.when(width < EPSILON, 0.5).otherwise((x - within["a"]) / F.nullif(width, F.lit(0.0)))
                 p = F.when(x <= refs[0], 0.0).when(x >= refs[-1], 1.0).otherwise(within["i"] / F.lit(float(n - 1)) + share / F.lit(float(n - 1)))
@@ -360,8 +369,8 @@ class PowerModel(Model):
 class PowerTransformer(Estimator):
     """Box-Cox or Yeo-Johnson with the most likely lambda, then standardised.
 
-    The search looks at a grid from -5 to 5, then narrows by golden section; every pass evaluates the candidates of
-    all columns in one scan. The Jacobian term of Yeo-Johnson counts ln(1 + |x|) for either sign.
+    The search looks at a grid from -5 to 5, then at ever finer ones around the best, down to 1e-7; every pass evaluates
+    the candidates of all columns in one scan. The Jacobian term of Yeo-Johnson counts ln(1 + |x|) for either sign.
     """
 
     method: str = "yeo-johnson"
@@ -376,60 +385,57 @@ class PowerTransformer(Estimator):
         plan.guard(*cols)
         for c in cols:
             plan.ask(f"min:{c}", F.min(_c(c)))
+            plan.ask(f"mean:{c}", F.avg(_c(c)))
             plan.ask(f"jacobian:{c}", F.sum(F.when(_c(c) > 0, F.ln(_c(c))) if self.method == "box-cox" else F.ln(F.abs(_c(c)) + 1.0)))
         plan.run(df)
         if self.method == "box-cox" and (low := [c for c in cols if plan[f"min:{c}"] <= 0]):
             raise InvalidInput(f"Box-Cox needs positive values; columns {low} have others")
-        n, jacobian = plan["rows"], [plan[f"jacobian:{c}"] for c in cols]
+        n, jacobian, middle = plan["rows"], [plan[f"jacobian:{c}"] for c in cols], [plan[f"mean:{c}"] for c in cols]
 
         def losses(candidates: list[list[float]]) -> list[list[float]]:
             """Minus the log-likelihood of each column's candidates."""
-            variance = _power_variances(df, cols, candidates, self.method)
+            variance = _power_variances(df, cols, candidates, self.method, middle)
             return [[n / 2 * (math.log(v) if v > 0 else -math.inf) - (lam - 1) * j for v, lam in zip(vs, lams, strict=True)] for vs, lams, j in zip(variance, candidates, jacobian, strict=True)]
 
-        grid = [i / 10 for i in range(-50, 51)]
-        best = [grid[int(np.nanargmin(loss))] for loss in losses([grid] * len(cols))]
-        low, high = [b - 0.2 for b in best], [b + 0.2 for b in best]
-        phi = (math.sqrt(5) - 1) / 2
-        for _ in range(40):
-            tries = [[b - phi * (b - a), a + phi * (b - a)] for a, b in zip(low, high, strict=True)]
-            for i, (left, right) in enumerate(losses(tries)):
-                if left < right:
-                    high[i] = tries[i][1]
-                else:
-                    low[i] = tries[i][0]
-        lambdas = [(a + b) / 2 for a, b in zip(low, high, strict=True)]
+        grids = [[i / 10 for i in range(-50, 51)] for _ in cols]
+        for step in range(2, 9):
+            lambdas = [grid[int(np.nanargmin(loss))] for grid, loss in zip(grids, losses(grids), strict=True)]
+            grids = [[b + i / 10**step for i in range(-12, 13)] for b in lambdas]
         power = box_cox if self.method == "box-cox" else yeo_johnson
         row = df.agg(*(f(power(_c(c), lam)).alias(f"{k}{i}") for i, (c, lam) in enumerate(zip(cols, lambdas, strict=True)) for k, f in (("m", F.avg), ("s", F.stddev_pop)))).first()
         std = [row[f"s{i}"] for i in range(len(cols))]
         return PowerModel(cols, lambdas, [row[f"m{i}"] for i in range(len(cols))], [1.0 if s < 1e-12 else s for s in std], self.method, self.standardize)
 
 
-def _power_variances(df: DataFrame, cols: list[str], candidates: list[list[float]], method: str) -> list[list[float]]:
-    """Population variance of each column under each of its candidate powers: one scan of partial moments in numpy.
+def _power_variances(df: DataFrame, cols: list[str], candidates: list[list[float]], method: str, middle: list[float]) -> list[list[float]]:
+    """Population variance of each column under each of its candidate powers: one scan of sums in numpy, one row a task and column.
 
-    101 candidates a column would be a thousand aggregate expressions, more than generated code takes.
+    101 candidates a column would be a thousand aggregate expressions, more than generated code takes. Sums are of
+    what exceeds the power of the column's mean, so that squares don't cancel.
     """
     import pandas as pd
 
-    def moments(batches):
+    shift = [[float(_power(np.array([m]), lam, method)[0]) for lam in lams] for m, lams in zip(middle, candidates, strict=True)]
+
+    def sums(batches):
+        total = [np.zeros((2, len(lams))) for lams in candidates]
+        rows = 0
         for batch in batches:
-            rows = []
+            rows += len(batch)
             for i, c in enumerate(cols):
                 x = batch[c].to_numpy(dtype=float)
                 for k, lam in enumerate(candidates[i]):
-                    t = _power(x, lam, method)
-                    mean = float(t.mean())
-                    rows.append((i, k, float(len(t)), mean, float(((t - mean) ** 2).sum())))
-            if len(batch):
-                yield pd.DataFrame(rows, columns=["c", "k", "n", "mean", "m2"])
-
-    parts = df.select(*(_c(c).alias(c) for c in cols)).mapInPandas(moments, "c int, k int, n double, mean double, m2 double")
-    total = parts.groupBy("c", "k").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.sum("m2").alias("within"), F.collect_list(F.struct("n", "mean")).alias("parts"))
-    between = F.aggregate("parts", F.lit(0.0), lambda acc, p: acc + p["n"] * (p["mean"] - F.col("mean")) * (p["mean"] - F.col("mean")))
+                    t = _power(x, lam, method) - shift[i][k]
+                    total[i][0, k] += t.sum()
+                    total[i][1, k] += t @ t
+        if rows:
+            yield pd.DataFrame([(i, float(rows), t[0].tolist(), t[1].tolist()) for i, t in enumerate(total)], columns=["c", "n", "s", "q"])
+
+    parts = df.select(*(_c(c).alias(c) for c in cols)).mapInPandas(sums, "c int, n double, s array<double>, q array<double>")
+    cells = parts.select("c", "n", F.posexplode(F.arrays_zip("s", "q")).alias("k", "x"))
     out = [[0.0] * len(k) for k in candidates]
-    for r in total.select("c", "k", ((F.col("within") + between) / F.col("n")).alias("v")).collect():
-        out[r["c"]][r["k"]] = r["v"]
+    for r in cells.groupBy("c", "k").agg(F.sum("n").alias("n"), F.sum("x.s").alias("s"), F.sum("x.q").alias("q")).collect():
+        out[r["c"]][r["k"]] = max(0.0, r["q"] / r["n"] - (r["s"] / r["n"]) ** 2)
     return out
 
 

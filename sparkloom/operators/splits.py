@@ -6,10 +6,11 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidConfig, InvalidInput
+from .stats import with_rid
 
 _MASK = (1 << 64) - 1
 #: Rows up to which a shuffle is the exact permutation, made on the driver.
@@ -107,17 +108,12 @@ class StratifiedKFold:
 
     def assign(self, df: DataFrame, label: str, rid: str = "rid") -> DataFrame:
         counts = {r["y"]: r["n"] for r in df.groupBy(F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        if None in counts:
+            raise InvalidInput(f"some rows have no {label}")
         if self.k < 2 or min(counts.values(), default=0) < self.k:
             raise InvalidConfig(f"each class needs {self.k} rows")
-        if not self.shuffle:
-            before, at = [], 0
-            for y in sorted(counts):
-                before.append((y, at))
-                at += counts[y]
-            place = F.row_number().over(Window.partitionBy(label).orderBy(rid)) - 1
-            first = df.sparkSession.createDataFrame(before, f"__y {df.schema[label].dataType.simpleString()}, __before bigint")
-            out = df.withColumn("__place", place).join(F.broadcast(first), F.col(label) == F.col("__y"))
-            return out.withColumn("fold", F.pmod(F.col("__place") + F.col("__before"), F.lit(self.k)).cast("int")).drop("__place", "__y", "__before")
+        if not self.shuffle:  # rows numbered through all classes, so that no task has all of one
+            return with_rid(df, [label, rid], "__place").withColumn("fold", F.pmod("__place", F.lit(self.k)).cast("int")).drop("__place")
         if sum(counts.values()) > MOST_SHUFFLED:
             raise InvalidInput(f"shuffles are exact up to {MOST_SHUFFLED} rows")
         rng, dealt, turn = Xorshift(self.seed), [], 0

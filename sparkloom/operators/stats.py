@@ -6,11 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInput
 from ..functions.exprs import num
+from ..plans.folder import need_folder
 from ..plans.quantiles import exact_quantiles
 
 #: Columns up to which products are summed by aggregate expressions; above, tasks sum them in numpy.
@@ -137,11 +138,11 @@ def duplicate_rows(df: DataFrame, numeric: list[str], strings: list[str]) -> Dat
 def with_rid(df: DataFrame, keys: list[str], name: str = "rid") -> DataFrame:
     """df with row numbers from 0 in the order of keys, which must be unique.
 
-    A range-partitioned sort and the sizes of its partitions number the rows, so that no task sees them all.
+    A range-partitioned sort and the sizes of its partitions number the rows, so that no task sees them all. The
+    sorted rows are checkpointed, in the folder that all executors share.
     """
     ordered = df.repartitionByRange(*(F.col(f"`{k}`") for k in keys)).sortWithinPartitions(*(F.col(f"`{k}`") for k in keys))
-    if not df.sparkSession.sparkContext.getCheckpointDir():
-        return df.withColumn(name, F.row_number().over(Window.orderBy(*keys)) - 1)
+    need_folder(df.sparkSession)
     ordered = ordered.checkpoint()
     tagged = ordered.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
     sizes = sorted((r["__p"], r["n"], r["first"]) for r in tagged.groupBy("__p").agg(F.count(F.lit(1)).alias("n"), F.min("__m").alias("first")).collect())

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import num
+from .folder import need_folder
 
 #: Rows up to which percentile() is used; ranks of a column up to which intervals are refined; bins of a pass.
 SMALL, MOST_RANKS, BINS = 20_000, 40, 1024
@@ -48,8 +49,6 @@ def exact_quantiles(df: DataFrame, asked: dict[str, list[float]], rows: int) ->
             out[c] = [None] * len(qs)
         elif len(ranks := _ranks(sizes[c], qs)) <= MOST_RANKS:
             few[c] = ranks
-        elif not df.sparkSession.sparkContext.getCheckpointDir():
-            out[c] = list(df.agg(F.percentile(num(c), F.array(*map(F.lit, qs)))).first()[0])
         else:
             at = _by_sort(df, c, ranks)
             out[c] = [interpolate(sizes[c], q, at) for q in qs]
@@ -113,6 +112,7 @@ def _by_sort(df: DataFrame, column: str, ranks: set[int]) -> dict[int, float]:
     import pandas as pd
 
     spark = df.sparkSession
+    need_folder(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = df.select(num(column).alias("v")).where("v is not null").repartitionByRange(n, "v").sortWithinPartitions("v").checkpoint()
     sizes = {r["p"]: r["n"] for r in ordered.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -834,6 +834,31 @@ def transpose(spark, d):
     return matrix.transpose(t(spark, d, "region"), ["r_regionkey"], "r_regionkey")
 
 
+@query("transposed_cells", 'SELECT 0::BIGINT AS "row", c_custkey AS col, c_acctbal AS value FROM customer UNION ALL SELECT 1, c_custkey, c_nationkey::DOUBLE FROM customer')
+def transposed_cells(spark, d):
+    return matrix.transposed_cells(t(spark, d, "customer"), ["c_acctbal", "c_nationkey"], "c_custkey")
+
+
+@query("matrix_constructors", "SELECT * FROM (VALUES (0::BIGINT, 'rows', 1.5::DOUBLE, 2.0::DOUBLE), (1, 'rows', 3.0, 4.0), (0, 'zeros', 0.0, 0.0), (1, 'zeros', 0.0, 0.0), (0, 'identity', 1.0, 0.0), (1, 'identity', 0.0, 1.0)) v(rid, kind, a, b)")
+def matrix_constructors(spark, d):
+    ab = ["a", "b"]
+    made = {"rows": matrix.from_rows(spark, [[1.5, 2], [3, 4]], ab), "zeros": matrix.zeros(spark, 2, ab), "identity": matrix.identity(spark, ab)}
+    first, *rest = (m.withColumn("kind", F.lit(k)) for k, m in made.items())
+    for m in rest:
+        first = first.unionByName(m)
+    return first
+
+
+@query("cell_access", """SELECT (SELECT r_name FROM region WHERE r_regionkey = 2) AS name, (SELECT r_regionkey FROM region WHERE r_name = 'ASIA')::BIGINT AS "key", (SELECT coalesce(sum(l_quantity), 0) FROM lineitem WHERE l_orderkey = 1 AND l_linenumber = 2) AS held,
+  0.0::DOUBLE AS empty, (SELECT count(DISTINCT l_linenumber) FROM lineitem WHERE l_orderkey = 1) AS cells""")
+def cell_access(spark, d):
+    region = t(spark, d, "region")
+    sparse = matrix.from_triplets(t(spark, d, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").alias("col"), F.col("l_quantity").alias("value")), 16)
+    asia = matrix.column(region, "r_name", "r_regionkey").where("value = 'ASIA'").first()["rid"]
+    row = (matrix.cell(region, 2, "r_name", "r_regionkey"), matrix.row(region, asia, ["r_regionkey"], "r_regionkey")[0], matrix.sparse_get(sparse, 1, 2), matrix.sparse_get(sparse, 1, 0), len(matrix.row_nz(sparse, 1)))
+    return rows_of(spark, [row], "name string, key bigint, held double, empty double, cells bigint")
+
+
 # Profiler
 
 
@@ -861,6 +886,12 @@ def histogram(spark, d):
     return rows_of(spark, [(i, n) for i, n in enumerate(s.counts) if n], "bin int, n bigint")
 
 
+@query("histogram_shape", "WITH s AS (SELECT min(value) lo, max(value) hi, ceil(log2(count(*)) + 1)::INT k FROM events), b AS (SELECT least(k - 1, len(list_filter(range(1, k), lambda i: value >= lo + (hi - lo) / k * i))) AS bin, k FROM events, s) SELECT any_value(k)::INT AS n_bins, max(n) AS max_count FROM (SELECT bin, any_value(k) AS k, count(*) AS n FROM b GROUP BY 1)")
+def histogram_shape(spark, d):
+    s = profile.numeric_stats(t(spark, d, "events"), {"value": F.col("value")})["value"]
+    return rows_of(spark, [(s.n_bins, s.max_count)], "n_bins int, max_count bigint")
+
+
 @query("outliers", " UNION ALL ".join(f"SELECT '{c}' AS name, sum(({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))::INT)::BIGINT AS outliers FROM {tb}, (SELECT quantile_cont({c}, 0.25) q1, quantile_cont({c}, 0.75) q3 FROM {tb})" for c, tb in (("value", "events"), ("o_totalprice", "orders"))))
 def outliers(spark, d):
     rows = [(c, profile.numeric_stats(t(spark, d, tb), {c: F.col(c)})[c].outlier_count) for c, tb in (("value", "events"), ("o_totalprice", "orders"))]
