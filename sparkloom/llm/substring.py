@@ -7,14 +7,19 @@ are confirmed and overlap join to maximal repeats.
 
 Documents travel in packs of a few MB. A pack sends each distinct hash once, however often it holds it, to the
 bucket that owns the hash range, and gets one bit back for each: nothing grows with the number of pairs, and a
-passage that is in a third of all documents costs its bucket a few bytes a pack.
+passage that is in a third of all documents costs its bucket a few bytes a pack. Where there are many buckets, a
+pack sends to ranges of buckets, and relays gather what some hundred packs send to a range before they deal it out to
+its buckets, and take the answers back likewise: no pack sends a message to each bucket.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lay_out, parts_for
+from .shared import input_bytes, lay_out, parts_for
 from .words import WORD_BASE, Words, normal, words_of
 
 #: A repeat has this many words at least.
@@ -32,6 +37,8 @@ SPAN = 35
 BLOCK = 18
 #: Bytes of words in a pack; input bytes for each bucket of hashes.
 PACK, BUCKET = 3_000_000, 8_000_000
+#: Buckets that a pack sends to by itself; packs that a relay gathers.
+FAN, GATHER = 1024, 256
 #: Bits of an anchor's hash: a false hit only costs an extension that isn't confirmed.
 ANCHOR_BITS = 48
 SECOND_BASE = 0xFF51AFD7ED558CCD
@@ -117,14 +124,29 @@ def _anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, hashes >> np.uint64(64 - ANCHOR_BITS), (at - words.doc_first[doc]) % BLOCK == 0
 
 
-def _buckets(keys: np.ndarray, bits: int, n: int) -> np.ndarray:
-    """Ends of the ranges of sorted keys that belong to the n buckets: each has an equal part of the key space."""
-    edges = [-(-(i << bits) // n) for i in range(1, n)]
-    return np.concatenate([[0], np.searchsorted(keys, np.array(edges, dtype=np.uint64)), [len(keys)]]).astype(np.int64)
+@dataclass(frozen=True)
+class Ranges:
+    """n buckets of an equal part of the hashes each, and the larger ranges of `wide` buckets that packs send to."""
 
+    n: int
+    wide: int
 
-def _probe(n: int):
-    """Packs to (bucket, pack, blob of distinct anchor hashes with their flags)."""
+    @staticmethod
+    def of(n: int) -> Ranges:
+        return Ranges(n, 1 if n <= FAN else max(-(-n // FAN), math.isqrt(n)))
+
+    @property
+    def count(self) -> int:
+        return -(-self.n // self.wide)
+
+    def ends(self, keys: np.ndarray, bits: int, first: int, last: int, step: int) -> np.ndarray:
+        """Where in the sorted keys, which lie in buckets first to last, those of each `step` buckets end, with the begin."""
+        edges = [-(-(i << bits) // self.n) for i in range(first + step, last, step)]
+        return np.concatenate([[0], np.searchsorted(keys, np.array(edges, dtype=np.uint64)), [len(keys)]]).astype(np.int64)
+
+
+def _probe(n: Ranges):
+    """Packs to (bucket, pack, blob of distinct anchor hashes with their flags); the bucket is a range's first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,52 +161,124 @@ def _probe(n: int):
     return run
 
 
-def _sent(pack: str, n: int, keys: np.ndarray, bits: int, *more: np.ndarray) -> pa.RecordBatch:
-    ends = _buckets(keys, bits, n)
-    full = [i for i in range(n) if ends[i + 1] > ends[i]]
+def _sent(pack: str, n: Ranges, keys: np.ndarray, bits: int, *more: np.ndarray) -> pa.RecordBatch:
+    ends = n.ends(keys, bits, 0, n.n, n.wide)
+    full = [i for i in range(n.count) if ends[i + 1] > ends[i]]
     blobs = [_shrink(keys[ends[i] : ends[i + 1]], *(m[ends[i] : ends[i + 1]] for m in more)) for i in full]
-    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([pack] * len(full), pa.string()), pa.array(blobs, pa.binary())], ["bucket", "pack", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array([i * n.wide for i in full], pa.int32()), pa.array([pack] * len(full), pa.string()), pa.array(blobs, pa.binary())], ["bucket", "pack", "blob"])
 
 
-def _answer(kind: int):
-    """All packs' hashes of one bucket to (pack, kind, bucket, bits): which of the hashes sent occur twice or more.
+def _packed(bits: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.packbits(bits).tobytes())
+
+
+def _bits(data: bytes, count: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8), count=count).astype(bool)
+
+
+def _several(sent: list[list[np.ndarray]], kind: int) -> list[np.ndarray]:
+    """For each list of columns (sorted hashes and their like, flags last) which of its rows occur twice or more in all.
 
     kind 0: anchors, which must be on the grid somewhere, too. kind 1: fingerprints of SPAN words.
     """
+    sizes = [len(s[0]) for s in sent]
+    flags = np.concatenate([s[-1] for s in sent])
+    columns = [np.concatenate([s[i] for s in sent]) for i in range(len(sent[0]) - 1)]
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    heads = np.flatnonzero(new)
+    several = (np.diff(heads, append=len(order)) > 1) | (np.bitwise_or.reduceat(flags[order], heads) & 1 > 0)
+    if kind == 0:
+        several &= np.bitwise_or.reduceat(flags[order], heads) & 2 > 0
+    found = np.empty(len(order), dtype=bool)
+    found[order] = several[np.cumsum(new) - 1]
+    return np.split(found, np.cumsum(sizes)[:-1])
+
+
+def _answer(kind: int):
+    """All packs' hashes of one bucket to (pack, kind, bucket, bits): which of the hashes sent occur twice or more."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("pack")
-        sent = [_grow(b) for b in group["blob"]]
-        sizes = [len(s[0]) for s in sent]
-        flags = np.concatenate([s[-1] for s in sent])
-        columns = [np.concatenate([s[i] for s in sent]) for i in range(len(sent[0]) - 1)]
-        order = np.lexsort(columns[::-1])
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
-        heads = np.flatnonzero(new)
-        several = (np.diff(heads, append=len(order)) > 1) | (np.bitwise_or.reduceat(flags[order], heads) & 1 > 0)
-        if kind == 0:
-            several &= np.bitwise_or.reduceat(flags[order], heads) & 2 > 0
-        found = np.empty(len(order), dtype=bool)
-        found[order] = several[np.cumsum(new) - 1]
-        bits = [zstandard.ZstdCompressor(level=1).compress(np.packbits(f).tobytes()) for f in np.split(found, np.cumsum(sizes)[:-1])]
+        bits = [_packed(f) for f in _several([_grow(b) for b in group["blob"]], kind)]
         return pd.DataFrame({"pack": group["pack"].to_numpy(), "kind": kind, "bucket": group["bucket"].to_numpy(), "bits": bits})
 
     return run
 
 
-def _told(answers: pd.DataFrame, kind: int, keys: np.ndarray, bits: int, n: int) -> np.ndarray:
+def _relayed(n: Ranges, bits: int):
+    """What packs of a relay sent to a range, to (bucket, range, relay, blob): one bundle for each bucket, packs in their order."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("pack")
+        first = int(group["bucket"].iloc[0])
+        last = min(n.n, first + n.wide)
+        sent = [_grow(b) for b in group["blob"]]
+        ends = [n.ends(s[0], bits, first, last, 1) for s in sent]
+        rows = []
+        for i in range(last - first):
+            parts = [[c[e[i] : e[i + 1]] for c in s] for s, e in zip(sent, ends, strict=True)]
+            if any(len(p[0]) for p in parts):
+                rows.append((first + i, first, group["relay"].iloc[0], pickle.dumps([_shrink(*p) if len(p[0]) else b"" for p in parts])))
+        return pd.DataFrame(rows, columns=["bucket", "range", "relay", "blob"])
+
+    return run
+
+
+def _answer_relays(kind: int):
+    """All bundles of one bucket to (range, relay, bucket, bits): the answers for each pack of a bundle."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("relay")
+        bundles = [pickle.loads(b) for b in group["blob"]]
+        found = iter(_several([_grow(p) for b in bundles for p in b if p], kind))
+        out = [pickle.dumps([(_packed(f := next(found)), len(f)) if p else (b"", 0) for p in b]) for b in bundles]
+        return pd.DataFrame({"range": group["range"].to_numpy(), "relay": group["relay"].to_numpy(), "bucket": group["bucket"].to_numpy(), "bits": out})
+
+    return run
+
+
+def _take_back(kind: int):
+    """The packs of a relay and the answers to what it sent for a range, to (pack, kind, bucket, bits), as _answer gives."""
+
+    def run(packs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(packs["pack"])
+        got: list[list[np.ndarray]] = [[] for _ in names]
+        for bundle in answers.sort_values("bucket")["bits"]:
+            for mine, (data, count) in zip(got, pickle.loads(bundle), strict=True):
+                if count:
+                    mine.append(_bits(data, count))
+        first = packs["bucket"].to_numpy()[0]
+        return pd.DataFrame({"pack": names, "kind": kind, "bucket": first, "bits": [_packed(np.concatenate(x)) for x in got]})
+
+    return run
+
+
+def _answered(sent: DataFrame, n: Ranges, parts: int, kind: int, bits: int, n_packs: int) -> DataFrame:
+    """Answers (pack, kind, bucket, bits) to what packs sent (bucket, pack, blob)."""
+    answer = "pack string, kind int, bucket int, bits binary"
+    if n.wide == 1:
+        return sent.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_answer(kind), answer).checkpoint()
+    sent = sent.withColumn("relay", F.pmod(F.xxhash64("pack"), F.lit(max(1, n_packs // GATHER))).cast("int")).checkpoint()
+    relayed = sent.groupBy("bucket", "relay").applyInPandas(_relayed(n, bits), "bucket int, range int, relay int, blob binary")
+    answers = relayed.repartition(parts, "bucket").groupBy("bucket").applyInPandas(_answer_relays(kind), "range int, relay int, bucket int, bits binary")
+    asked = sent.select("bucket", "relay", "pack").groupBy("bucket", "relay")
+    return asked.cogroup(answers.groupBy("range", "relay")).applyInPandas(_take_back(kind), answer).checkpoint()
+
+
+def _told(answers: pd.DataFrame, kind: int, keys: np.ndarray, bits: int, n: Ranges) -> np.ndarray:
     """The answer for each of a pack's sorted distinct keys."""
     out = np.zeros(len(keys), dtype=bool)
-    ends = _buckets(keys, bits, n)
+    ends = n.ends(keys, bits, 0, n.n, n.wide)
     mine = answers[answers["kind"] == kind]
-    for bucket, packed in zip(mine["bucket"], mine["bits"], strict=True):
+    for bucket, packed in zip(mine["bucket"] // n.wide, mine["bits"], strict=True):
         a, b = ends[bucket], ends[bucket + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8), count=b - a)
+        out[a:b] = _bits(packed, b - a)
     return out
 
 
-def _candidates(words: Words, answers: pd.DataFrame, n: int, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _candidates(words: Words, answers: pd.DataFrame, n: Ranges, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and two fingerprints of each window of span words that holds an anchor hit."""
     at, keys, _ = _anchors(words)
     distinct, _, number = _distinct(keys)
@@ -213,7 +307,7 @@ def _by_both(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
     return a[heads], b[heads], np.diff(heads, append=len(order)) > 1, number
 
 
-def _extend(n: int, span: int):
+def _extend(n: Ranges, span: int):
     """A pack with its anchor answers to (bucket, pack, blob of fingerprints of the windows around hits)."""
 
     def run(packs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -228,7 +322,7 @@ def _extend(n: int, span: int):
     return run
 
 
-def _finish(n: int, span: int):
+def _finish(n: Ranges, span: int):
     """A pack with all answers to its documents: id, words, words removed, removed ranges, what is left."""
 
     def run(packs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -258,19 +352,19 @@ def _finish(n: int, span: int):
     return run
 
 
-def _repeats(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame, int]:
-    """Packs, answers to all their questions, and the number of buckets."""
+def _repeats(docs: DataFrame, span: int) -> tuple[DataFrame, DataFrame, Ranges]:
+    """Packs, answers to all their questions, and the buckets."""
     if span < 2 * BLOCK - 1:
         raise ValueError(f"span must be {2 * BLOCK - 1} words at least")
-    n = parts_for(docs, BUCKET)
+    parts = parts_for(docs, BUCKET)
+    n = Ranges.of(max(parts, -(-input_bytes(docs) // BUCKET)))
     packs = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_pack, "pack string, blob binary")
-    packs = lay_out(packs, n, "pack")
-    answer = "pack string, kind int, bucket int, bits binary"
+    packs = lay_out(packs, parts, "pack")
+    n_packs = packs.count() if n.wide > 1 else 0
     sent = packs.mapInArrow(_probe(n), "bucket int, pack string, blob binary")
-    hits = sent.repartition(n, "bucket").groupBy("bucket").applyInPandas(_answer(0), answer).checkpoint()
+    hits = _answered(sent, n, parts, 0, ANCHOR_BITS, n_packs)
     wide = packs.groupBy("pack").cogroup(hits.groupBy("pack")).applyInPandas(_extend(n, span), "bucket int, pack string, blob binary")
-    confirmed = wide.repartition(n, "bucket").groupBy("bucket").applyInPandas(_answer(1), answer).checkpoint()
-    return packs, hits.unionByName(confirmed), n
+    return packs, hits.unionByName(_answered(wide, n, parts, 1, 64, n_packs)), n
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:

@@ -57,6 +57,20 @@ def test_repeats_against_brute_force(spark):
         substring.remove_repeats(table(spark, texts), span=20)
 
 
+def test_repeats_by_relays(spark, monkeypatch):
+    """Many buckets and small relays give the same."""
+    monkeypatch.setattr(substring, "FAN", 3)
+    monkeypatch.setattr(substring, "GATHER", 2)
+    monkeypatch.setattr(substring, "parts_for", lambda docs, each: 14)
+    assert substring.Ranges.of(14) == substring.Ranges(14, 5) and substring.Ranges.of(14).count == 3
+    texts = corpus(31, 30)
+    docs = table(spark, texts).repartition(9)  # a pack each
+    rows = {r["doc_id"]: r for r in substring.remove_repeats(docs).collect()}
+    for d, (n_words, n_removed, _) in brute.repeats(list(enumerate(texts))).items():
+        assert (rows[d]["n_words"], rows[d]["n_removed"]) == (n_words, n_removed)
+    assert sum(r["n_removed"] for r in rows.values()) > 500
+
+
 def test_repeats_match_sql(spark, tmp_path):
     import duckdb
 
