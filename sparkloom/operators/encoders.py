@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
 from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame
@@ -10,10 +12,13 @@ from pyspark.sql import functions as F
 
 from ..errors import EmptyInput, InvalidConfig, InvalidInput, ShapeMismatch
 from ..plans.fitplan import FitPlan
+from ..plans.folder import need_folder
 from .base import Estimator, Model, per_column
+from .stats import with_rid
 
-#: Categories up to which a dictionary is inlined in the projection; more are joined.
-INLINE = 256
+#: Categories up to which a dictionary is inlined in the projection; more are joined. Categories up to which the model
+#: holds a dictionary itself; a larger one stays a table in the shared folder, and never passes the driver.
+INLINE, HELD = 256, 100_000
 
 
 def _s(c: str) -> Column:
@@ -28,17 +33,36 @@ def _table(df: DataFrame, pairs: list[tuple], types: str) -> DataFrame:
     return df.sparkSession.createDataFrame(pairs, types)
 
 
+def _stored(table: DataFrame) -> str:
+    """Write (k, v) to the shared folder; its path."""
+    spark = table.sparkSession
+    need_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/dictionary-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return path
+
+
 @dataclass
 class DictionaryModel(Model):
     """Base of encoders that look categories up: column values by category, and what unknown ones give.
 
-    Small dictionaries are inlined as a map; a large one is joined from the left, broadcast only while it is small.
+    Small dictionaries are inlined as a map; a large one is joined from the left, broadcast only while it is small. A
+    column with a table (a path) has its dictionary there and none here.
     """
 
     guards: ClassVar[bool] = False
     values: list[dict[str, float]] = per_column()
     #: "error", "null" or a number for each column.
     unknown: list = per_column()
+    tables: list[str | None] = field(default_factory=list)
+
+    def check(self) -> None:
+        super().check()
+        if self.tables and len(self.tables) != len(self.cols):
+            raise InvalidInput(f"{type(self).__name__}: {len(self.tables)} tables for {len(self.cols)} columns")
+
+    def _table_of(self, i: int) -> str | None:
+        return self.tables[i] if self.tables else None
 
     def outputs(self) -> list[Column]:
         return [self._looked_up(c, F.col(f"`{c}`"), v, u) for c, v, u in zip(self.cols, self.values, self.unknown, strict=True)]
@@ -62,15 +86,19 @@ class DictionaryModel(Model):
 
     def transform(self, df: DataFrame) -> DataFrame:
         self.need(df)
-        columns = []
+        columns, helpers = [], []
         for i, (c, v, u) in enumerate(zip(self.cols, self.values, self.unknown, strict=True)):
-            if len(v) <= INLINE:
+            path = self._table_of(i)
+            if len(v) <= INLINE and path is None:
                 columns.append(self._looked_up(c, F.col(f"`{c}`"), v, u))
                 continue
-            table = _table(df, [(k, float(x)) for k, x in v.items()], f"__k{i} string, __v{i} double")
+            if path is None:
+                table = _table(df, [(k, float(x)) for k, x in v.items()], f"__k{i} string, __v{i} double")
+            else:
+                table = df.sparkSession.read.parquet(path).select(F.col("k").alias(f"__k{i}"), F.col("v").alias(f"__v{i}"))
             df = df.join(table, _s(c) == F.col(f"__k{i}"), "left").drop(f"__k{i}")
             columns.append(F.coalesce(F.col(f"__v{i}"), self._otherwise(c, u)))
-        helpers = [f"__v{i}" for i, v in enumerate(self.values) if len(v) > INLINE]
+            helpers.append(f"__v{i}")
         return self._put(df, self.cols, columns, self.names_out()).drop(*helpers)
 
 
@@ -150,10 +178,23 @@ class OneHotEncoder(Estimator):
 class OrdinalModel(DictionaryModel):
     categories: list[list[str]] = per_column(default=list)
 
+    def inverse_transform(self, df: DataFrame) -> DataFrame:
+        self.need(df, self.names_out())
+        for i, c in enumerate(self.cols):
+            if self._table_of(i) is not None:
+                table = df.sparkSession.read.parquet(self.tables[i]).select(F.col("k").alias(f"__k{i}"), F.col("v").alias(f"__v{i}"))
+                df = df.join(table, F.col(f"`{c}`").cast("double") == F.col(f"__v{i}"), "left").drop(f"__v{i}")
+        out = self._put(df, self.names_out(), self.inverse(), self.cols)
+        return out.drop(*(f"__k{i}" for i in range(len(self.cols)) if self._table_of(i) is not None))
+
     def inverse(self) -> list[Column]:
         out = []
-        for c, known in zip(self.cols, self.categories, strict=True):
+        for i, (c, known) in enumerate(zip(self.cols, self.categories, strict=True)):
             x = F.col(f"`{c}`").cast("double")
+            if self._table_of(i) is not None:
+                wrong = F.raise_error(F.lit(f"InvalidInput: column {c} has a code that stands for no category")).cast("string")
+                out.append(F.when(x == -1.0, F.lit("")).otherwise(F.coalesce(F.col(f"__k{i}"), wrong)))
+                continue
             wrong = F.raise_error(F.lit(f"InvalidInput: column {c} has a code that stands for no category")).cast("string")
             found = F.get(F.array(*map(F.lit, known)), x.cast("int")) if known else F.lit(None).cast("string")
             out.append(F.when(x == -1.0, F.lit("")).when((x == F.floor(x)) & (x >= 0) & (x < len(known)), found).otherwise(wrong))
@@ -176,9 +217,12 @@ class OrdinalEncoder(Estimator):
     def _fit(self, df: DataFrame, cols: list[str], target: str | None) -> OrdinalModel:
         if self.categories is not None and len(self.categories) != len(cols):
             raise ShapeMismatch(f"{len(self.categories)} category lists for {len(cols)} columns")
-        known = [list(k) for k in self.categories] if self.categories is not None else _categories(df, cols)
         unknown = "error" if self.handle_unknown == "error" else -1.0
-        return OrdinalModel(cols, [{k: float(i) for i, k in enumerate(ks)} for ks in known], [unknown] * len(cols), known)
+        if self.categories is None:
+            values, tables = _codes(df, cols)
+        else:
+            values, tables = [{k: float(i) for i, k in enumerate(ks)} for ks in self.categories], []
+        return OrdinalModel(cols, values, [unknown] * len(cols), tables, [list(v) for v in values])
 
 
 @dataclass
@@ -209,18 +253,38 @@ class LabelEncoder(Estimator):
     def _fit(self, df: DataFrame, cols: list[str], target: str | None) -> LabelEncoderModel:
         if len(cols) != 1:
             raise ShapeMismatch("labels are one column")
-        known = _categories(df, cols)
-        return LabelEncoderModel(cols, [{k: float(i) for i, k in enumerate(known[0])}], ["error" if self.handle_unknown == "error" else "null"], known)
+        values, tables = _codes(df, cols)
+        return LabelEncoderModel(cols, values, ["error" if self.handle_unknown == "error" else "null"], tables, [list(v) for v in values])
+
 
+def _grouped(df: DataFrame, cols: list[str], aggregates: list[Column], value: Callable[[DataFrame], DataFrame]) -> tuple[list[dict[str, float]], list[str | None]]:
+    """Dictionaries of each column and the paths of those that are too large to be held.
 
-def _grouped(df: DataFrame, cols: list[str], *aggregates: Column) -> list[dict[str, tuple]]:
-    """Aggregates by category of each column, all columns in one shuffle of partial results."""
+    All columns' categories are aggregated in one shuffle of partial results; value() makes of their rows (i, k, and
+    the aggregates) rows with v.
+    """
     items = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), _s(c).alias("k")) for i, c in enumerate(cols))))
-    out: list[dict[str, tuple]] = [{} for _ in cols]
-    for r in df.select("*", items.alias("__x")).groupBy("__x.i", "__x.k").agg(*aggregates).orderBy("i", "k").collect():
-        if r["k"] is not None:
-            out[r["i"]][r["k"]] = tuple(r)[2:]
-    return out
+    need_folder(df.sparkSession)
+    groups = value(df.select("*", items.alias("__x")).groupBy("__x.i", "__x.k").agg(*aggregates).where("k is not null")).select("i", "k", F.col("v").cast("double").alias("v")).checkpoint()
+    sizes = {r["i"]: r["n"] for r in groups.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect()}
+    large = [i for i, n in sizes.items() if n > HELD]
+    values: list[dict[str, float]] = [{} for _ in cols]
+    for r in groups.where(~F.col("i").isin(large) if large else F.lit(True)).orderBy("i", "k").collect():  # HELD a column at most
+        values[r["i"]][r["k"]] = r["v"]
+    return values, [_stored(groups.where(F.col("i") == i).select("k", "v")) if i in large else None for i in range(len(cols))]
+
+
+def _codes(df: DataFrame, cols: list[str]) -> tuple[list[dict[str, float]], list[str | None]]:
+    """Numbers of each column's categories in their order."""
+
+    def numbered(groups: DataFrame) -> DataFrame:
+        rows = with_rid(groups, ["i", "k"], "v")
+        first = rows.groupBy("i").agg(F.min("v").alias("first"))
+        return rows.join(F.broadcast(first), "i").withColumn("v", F.col("v") - F.col("first"))  # a row a column
+
+    if df.isEmpty():
+        raise EmptyInput("no rows to fit to")
+    return _grouped(df, cols, [F.count(F.lit(1)).alias("n")], numbered)
 
 
 @dataclass
@@ -235,12 +299,12 @@ class FrequencyEncoder(Estimator):
             raise InvalidConfig("handle_unknown is zero or error")
 
     def _fit(self, df: DataFrame, cols: list[str], target: str | None) -> DictionaryModel:
-        found = _grouped(df, cols, F.count(F.lit(1)).alias("n"))
         rows = df.count()
         if not rows:
             raise EmptyInput("no rows to fit to")
         by = (1.0 / rows) if self.normalized else 1.0
-        return DictionaryModel(cols, [{k: v[0] * by for k, v in f.items()} for f in found], [0.0 if self.handle_unknown == "zero" else "error"] * len(cols))
+        values, tables = _grouped(df, cols, [F.count(F.lit(1)).alias("n")], lambda g: g.withColumn("v", F.col("n") * F.lit(by)))
+        return DictionaryModel(cols, values, [0.0 if self.handle_unknown == "zero" else "error"] * len(cols), tables)
 
 
 @dataclass
@@ -266,10 +330,10 @@ class TargetEncoder(Estimator):
         plan.guard(target)
         plan.ask("mean", F.avg(y))
         mean = plan.run(df.select(F.col(f"`{target}`")))["mean"]
-        found = _grouped(df, cols, F.count(F.lit(1)).alias("n"), F.avg(y).alias("m"))
         s = self.smoothing
-        values = [{k: (n * m + s * mean) / (n + s) for k, (n, m) in f.items()} for f in found]
+        drawn = (F.col("n") * F.col("m") + F.lit(s * mean)) / (F.col("n") + F.lit(s))
+        values, tables = _grouped(df, cols, [F.count(F.lit(1)).alias("n"), F.avg(y).alias("m")], lambda g: g.withColumn("v", drawn))
         unknown = {"global_mean": mean, "nan": "null", "error": "error"}[self.handle_unknown]
-        return DictionaryModel(cols, values, [unknown] * len(cols))
+        return DictionaryModel(cols, values, [unknown] * len(cols), tables)
 
 

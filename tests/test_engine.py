@@ -131,6 +131,25 @@ def test_large_dictionaries_are_joined(spark):
     assert out.columns == ["rid", "c"] and out.where("c != 3").count() == 0 and out.count() == 1800
 
 
+def test_dictionaries_that_stay_tables(spark, monkeypatch):
+    rows = [(i, f"k{i % 300:03d}", f"s{i % 3}", float(i)) for i in range(900)]
+    df = spark.createDataFrame(rows, "rid long, c string, d string, y double")
+    fits = {
+        "frequency": lambda: encoders.FrequencyEncoder().fit(df, ["c", "d"]), "target": lambda: encoders.TargetEncoder(2.0).fit(df, ["c", "d"], "y"),
+        "ordinal": lambda: encoders.OrdinalEncoder().fit(df, ["c", "d"]), "label": lambda: encoders.LabelEncoder().fit(df, ["c"]),
+    }
+    held = {k: sorted(map(tuple, f().transform(df).collect())) for k, f in fits.items()}
+    monkeypatch.setattr(encoders, "HELD", 100)
+    for k, f in fits.items():
+        m = f()
+        assert m.values[0] == {} and m.tables[0] and sorted(map(tuple, m.transform(df).collect())) == held[k]
+        again = Model.from_json(m.to_json())
+        assert sorted(map(tuple, again.transform(df).collect())) == held[k]
+        if k in ("ordinal", "label"):
+            back = m.inverse_transform(m.transform(df))
+            assert back.columns == df.columns and sorted(map(tuple, back.collect())) == rows
+
+
 def test_imputers(spark):
     df = spark.createDataFrame([(0, 1.0, 2.0), (1, None, 4.0), (2, 5.0, float("nan")), (3, 5.0, 4.0)], "rid long, a double, b double")
     for strategy, want in (("mean", 11 / 3), ("median", 5.0), ("most_frequent", 5.0), ("constant", -1.0)):
