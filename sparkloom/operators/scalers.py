@@ -349,11 +349,13 @@ class PowerModel(Model):
     std: list[float] = per_column(finite=True)
     method: str = "yeo-johnson"
     standardize: bool = True
+    #: Whether Box-Cox takes 0 too, where lambda is positive: its limit there, -1 / lambda.
+    zero: bool = False
 
     def _raw(self, c: str, lam: float) -> Column:
         x = finite(c)
         if self.method == "box-cox":
-            return box_cox(F.when(x > 0, x).otherwise(F.raise_error(F.lit(f"InvalidInput: column {c} must be positive")).cast("double")), lam)
+            return box_cox(F.when(x >= 0 if self.zero and lam >= 1e-8 else x > 0, x).otherwise(F.raise_error(F.lit(f"InvalidInput: column {c} must be positive")).cast("double")), lam)
         return yeo_johnson(x, lam)
 
     def outputs(self) -> list[Column]:

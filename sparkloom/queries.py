@@ -224,7 +224,7 @@ def quantile_transformer_normal(spark, d):
 def power_fixed(spark, d):
     df = t(spark, d, "events").select("event_id", F.col("value").alias("b"), (F.col("value") - 50).alias("y"))
     for c, lam, method in (("b", 0.3, "box-cox"), ("y", 0.7, "yeo-johnson")):
-        raw = scalers.PowerModel([c], [lam], [0.0], [1.0], method, False).transform(df)
+        raw = scalers.PowerModel([c], [lam], [0.0], [1.0], method, False, zero=True).transform(df)
         df = scalers.StandardScaler().fit_transform(raw, [c])
     return rounded(df)
 

@@ -161,6 +161,22 @@ def test_imputers(spark):
     assert values(near, "a")[1] == 5.0 and values(near, "b")[2] == 4.0
 
 
+def test_fixed_box_cox_of_zero(spark, tmp_path):
+    import duckdb
+
+    spark.createDataFrame([(i, float(i)) for i in range(5)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in queries.QUERIES["power_fixed"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+        assert got == [pytest.approx(r, abs=2e-6) for r in sorted(db.execute(queries.ORACLES["power_fixed"]).fetchall())]
+    x = frame(spark, x=[0, 4])
+    zero = scalers.PowerModel(["x"], [0.5], [0.0], [1.0], "box-cox", False, zero=True)
+    assert values(zero.transform(x)) == [-2.0, 2.0] and values(zero.inverse_transform(zero.transform(x))) == [0.0, 4.0]
+    for refused in (scalers.PowerModel(["x"], [0.5], [0.0], [1.0], "box-cox"), scalers.PowerModel(["x"], [0.0], [0.0], [1.0], "box-cox", zero=True)):
+        with pytest.raises(Exception, match="must be positive"):
+            refused.transform(x).collect()
+
+
 @pytest.mark.parametrize("name", ["imputer_knn", "imputer_knn_distance"])
 def test_knn_of_all_customers(spark, name):
     import duckdb
