@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidConfig, InvalidInput
-from ..functions.exprs import finite
+from ..functions.exprs import finite, plus_zero
 from ..plans.fitplan import FitPlan
+from ..plans.folder import need_folder
 from .base import Estimator, Model
 from .blocks import matrix, sweep
+from .distances import MOST_CLUSTERS, MOST_DIMS, codes, sums_by_boxes
 from .splits import Xorshift
 
 
@@ -189,11 +191,16 @@ def _inertia(rows: DataFrame, assigned_by: np.ndarray, centres: np.ndarray) -> f
 def silhouette_samples(df: DataFrame, cols: list[str], label: str, rid: str = "rid") -> DataFrame:
     """(rid, silhouette) of each row by Euclidean distance; a cluster of one row scores 0.
 
-    Every row is compared with every other, in blocks: a block of rows keeps its sum of distances to each cluster
-    while all rows stream past. Time is quadratic in the rows; memory is not, but holds a number a cluster and row of a block.
+    Equal rows count once, with their number. With two columns that vary and 64 clusters at most, time is in proportion
+    to the different rows, by sums over boxes (distances.py). Beyond that each is compared with every other, in blocks: a block
+    keeps its sum of distances to each cluster while all stream past. That time is quadratic in the different rows;
+    memory is not, but holds a number a cluster and row of a block.
     """
-    kept = df.select(F.col(f"`{rid}`").cast("bigint").alias("rid"), F.col(f"`{label}`").cast("string").alias("label"), *(finite(c).alias(f"x{i}") for i, c in enumerate(cols)))
-    counts = {r["label"]: r["count"] for r in kept.groupBy("label").count().collect()}
+    p = len(cols)
+    kept = df.select(F.col(f"`{rid}`").cast("bigint").alias("rid"), F.col(f"`{label}`").cast("string").alias("label"), *(plus_zero(finite(c)).alias(f"x{i}") for i, c in enumerate(cols)))
+    counts, low, high = {}, np.full(p, np.inf), np.full(p, -np.inf)
+    for r in kept.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.min(f"x{i}") for i in range(p))).alias("low"), F.array(*(F.max(f"x{i}") for i in range(p))).alias("high")).collect():
+        counts[r["label"]], low, high = r["n"], np.minimum(low, r["low"]), np.maximum(high, r["high"])
     if None in counts:
         raise InvalidInput("a row has no cluster")
     if not 2 <= len(counts) < sum(counts.values()):
@@ -201,37 +208,65 @@ def silhouette_samples(df: DataFrame, cols: list[str], label: str, rid: str = "r
     names = sorted(counts)
     sizes = np.array([counts[n] for n in names])
     number = {n: i for i, n in enumerate(names)}
-    xs = [f"x{i}" for i in range(len(cols))]
-
-    def block(columns):
-        return matrix(columns, xs), np.array([number[n] for n in columns["label"].to_pylist()], dtype=int)
-
-    def start(columns):
-        x, own = block(columns)
-        return columns["rid"], x, own, np.zeros((len(own), len(names)))
-
-    def meet(state, columns):
-        _, x, _, sums = state
-        y, codes = block(columns)
-        order = np.argsort(codes, kind="stable")
-        found, firsts = np.unique(codes[order], return_index=True)
-        squares = np.zeros((x.shape[1], y.shape[1]))
-        for mine, other in zip(x, y[:, order], strict=True):
-            squares += (mine[:, None] - other[None, :]) ** 2
-        sums[:, found] += np.add.reduceat(np.sqrt(squares), firsts, axis=1)
-
-    def finish(state):
-        rids, _, own, sums = state
+    xs = [f"x{i}" for i in range(p)]
+    schema = f"label string, {', '.join(f'{x} double' for x in xs)}, silhouette double"
+    points = kept.groupBy("label", *xs).agg(F.count(F.lit(1)).cast("double").alias("w"))
+    half = (high / 2 - low / 2) * (1 + 1e-9)
+    varied = np.flatnonzero(half > 0)
+    wide = half[varied].min(initial=np.inf) > 1e-200  # else codes would leave the range of doubles
+
+    def scores(own, sums):
         rows = np.arange(len(own))
         a = sums[rows, own] / np.maximum(sizes[own] - 1, 1)
         means = sums / sizes
         means[rows, own] = np.inf
         b = means.min(axis=1)
         top = np.maximum(a, b)
-        scores = np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)
-        yield pa.RecordBatch.from_arrays([rids, pa.array(scores)], ["rid", "silhouette"])
-
-    return sweep(kept, kept.drop("rid"), "label", start, meet, finish, "rid bigint, silhouette double")
+        return np.where((sizes[own] > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1.0), 0.0)
+
+    if 1 <= len(varied) <= MOST_DIMS and wide and len(names) <= MOST_CLUSTERS:
+        some = [f"x{i}" for i in varied]
+
+        def coded(batches):
+            for batch in batches:
+                yield pd.DataFrame({"own": batch["label"].map(number).astype("int32"), **{f"x{j}": batch[x] for j, x in enumerate(some)}, "w": batch["w"], "code": codes(batch[some].to_numpy(dtype=float), low[varied], half[varied])})
+
+        def scored(batches):
+            for batch in batches:
+                own = batch["own"].to_numpy()
+                found = scores(own, np.stack(batch["sums"].to_numpy()))
+                place = {x: batch[f"x{some.index(x)}"] if x in some else low[i] for i, x in enumerate(xs)}
+                yield pd.DataFrame({"label": [names[o] for o in own], **place, "silhouette": found})
+
+        need_folder(df.sparkSession)
+        held = ", ".join(f"x{j} double" for j in range(len(some)))
+        points = points.mapInPandas(coded, f"own int, {held}, w double, code bigint").repartitionByRange("code").checkpoint()
+        found = sums_by_boxes(points, points.count(), len(some), len(names), low[varied], half[varied]).mapInPandas(scored, schema)
+    else:
+
+        def block(columns):
+            return matrix(columns, xs), np.array([number[n] for n in columns["label"].to_pylist()], dtype=int)
+
+        def start(columns):
+            x, own = block(columns)
+            return columns, x, own, np.zeros((len(own), len(names)))
+
+        def meet(state, columns):
+            _, x, _, sums = state
+            y, own = block(columns)
+            order = np.argsort(own, kind="stable")
+            present, firsts = np.unique(own[order], return_index=True)
+            squares = np.zeros((x.shape[1], y.shape[1]))
+            for mine, other in zip(x, y[:, order], strict=True):
+                squares += (mine[:, None] - other[None, :]) ** 2
+            sums[:, present] += np.add.reduceat(np.sqrt(squares) * matrix(columns, ["w"])[0, order], firsts, axis=1)
+
+        def finish(state):
+            columns, _, own, sums = state
+            yield pa.RecordBatch.from_arrays([*(columns[c] for c in ("label", *xs)), pa.array(scores(own, sums))], ["label", *xs, "silhouette"])
+
+        found = sweep(points.drop("w"), points, "label", start, meet, finish, schema)
+    return kept.join(found, ["label", *xs]).select("rid", "silhouette")
 
 
 def silhouette_score(df: DataFrame, cols: list[str], label: str, rid: str = "rid") -> float:

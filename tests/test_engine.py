@@ -310,6 +310,34 @@ def test_silhouette_of_many_rows(spark):
     assert cluster.silhouette_samples(df, ["a"], "k").agg(F.count("*"), F.min("silhouette"), F.max("silhouette")).first() == (n, 1.0, 1.0)
 
 
+@pytest.mark.parametrize("shape", ["plane", "line", "clumps", "deep", "space"])
+def test_silhouette_by_boxes(spark, monkeypatch, shape):
+    from sparkloom.operators import distances
+
+    rng = np.random.default_rng(7)
+    n = 3000
+    x = np.round(np.stack([rng.uniform(-900, 9000, n), rng.integers(0, 25, n), rng.normal(0, 50, n)], axis=1), 2)
+    if shape == "line":
+        x[:, 1:] = 3.0
+    elif shape == "clumps":
+        x[: n // 2] = np.round(x[: n // 2] / 3000) * 3000  # many copies
+    elif shape == "deep":
+        x[:, 0] = 1e6 * 2.0 ** -rng.integers(0, 40, n) + rng.uniform(0, 1e-7, n)
+    cols = ["a", "b", "c"] if shape in ("line", "space") else ["a", "b"]
+    own = rng.integers(0, 4, n)
+    own[0] = 4  # alone
+    monkeypatch.setattr(distances, "LEAF", 40)
+    if shape != "space":
+        monkeypatch.setattr(cluster, "sweep", None)  # not all pairs
+    df = spark.createDataFrame([(i, f"k{k}", *map(float, r)) for i, (k, r) in enumerate(zip(own, x, strict=True))], "rid long, k string, a double, b double, c double")
+    got = dict(tuple(r) for r in cluster.silhouette_samples(df, cols, "k").collect())
+    d = np.sqrt(((x[:, None, : len(cols)] - x[None, :, : len(cols)]) ** 2).sum(axis=2))
+    sums, sizes, rows = np.stack([d[:, own == k].sum(axis=1) for k in range(5)], axis=1), np.bincount(own), np.arange(n)
+    a, b = sums[rows, own] / np.maximum(sizes[own] - 1, 1), np.where(np.arange(5) == own[:, None], np.inf, sums / sizes).min(axis=1)
+    want = np.where(sizes[own] > 1, (b - a) / np.maximum(a, b), 0.0)
+    assert len(got) == n and max(abs(got[i] - want[i]) for i in range(n)) < 1e-12
+
+
 def test_metrics(spark):
     df = frame(spark, y=[3, -0.5, 2, 7], p=[2.5, 0, 2, 8])
     r = metrics.regression_metrics(df, "y", "p").first()
