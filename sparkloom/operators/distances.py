@@ -7,6 +7,7 @@ error of the order of a double's rounding; near ones are summed pair by pair.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -31,9 +32,14 @@ class Box:
     code: int
     centre: np.ndarray
     half: np.ndarray
-    nodes: np.ndarray  # coordinates of its tensor grid, one row a node
     children: list[int] = field(default_factory=list)
 
+    @cached_property
+    def nodes(self) -> np.ndarray:
+        """Coordinates of its tensor grid, one row a node."""
+        axes = [c + h * _nodes(n) for c, h, n in zip(self.centre, self.half, _orders(self.half), strict=True)]
+        return np.stack([a.ravel() for a in np.meshgrid(*axes, indexing="ij")], axis=1)
+
 
 def splits(half: np.ndarray) -> list[int]:
     """The dimension halved at each level: the widest."""
@@ -76,11 +82,6 @@ def basis(x: np.ndarray, centre: np.ndarray, half: np.ndarray) -> np.ndarray:
     return out
 
 
-def _box(level: int, code: int, centre: np.ndarray, half: np.ndarray) -> Box:
-    axes = [c + h * _nodes(n) for c, h, n in zip(centre, half, _orders(half), strict=True)]
-    return Box(level, code, centre, half, np.stack([a.ravel() for a in np.meshgrid(*axes, indexing="ij")], axis=1))
-
-
 def boxes(points: DataFrame, n: int, low: np.ndarray, half: np.ndarray) -> list[Box]:
     """The tree of boxes that hold points, its root first; leaves have LEAF points at most, if DEPTH halvings do."""
     most, counts, level, heavy = max(LEAF, n // LEAVES), {(0, 0): n}, 0, [0] if n > LEAF else []
@@ -96,7 +97,7 @@ def boxes(points: DataFrame, n: int, low: np.ndarray, half: np.ndarray) -> list[
         heavy = [c for (k, c), m in counts.items() if k == to and m > most]
         level = to
     order = splits(half)
-    out = [_box(0, 0, low + half, half)]
+    out = [Box(0, 0, low + half, half)]
     for box in out:  # grows meanwhile
         if counts[box.level, box.code] <= most or box.level == DEPTH:
             continue
@@ -108,10 +109,16 @@ def boxes(points: DataFrame, n: int, low: np.ndarray, half: np.ndarray) -> list[
                 less[d] /= 2
                 centre[d] += less[d] if bit else -less[d]
                 box.children.append(len(out))
-                out.append(_box(box.level + 1, code, centre, less))
+                out.append(Box(box.level + 1, code, centre, less))
     return out
 
 
+def leaves_of(tree: list[Box]) -> tuple[list[int], np.ndarray]:
+    """The leaves and their least codes of DEPTH bits, by these."""
+    leaves = sorted((i for i, b in enumerate(tree) if not b.children), key=lambda i: tree[i].code << (DEPTH - tree[i].level))
+    return leaves, np.array([tree[i].code << (DEPTH - tree[i].level) for i in leaves])
+
+
 def _lists(tree: list[Box], leaf: int) -> tuple[list[int], list[int]]:
     """Leaves near a leaf, and the largest boxes far from it that hold all others."""
     near, far, open_ = [], [], [0]
@@ -152,8 +159,7 @@ def sums_by_boxes(points: DataFrame, n: int, p: int, k: int, low: np.ndarray, ha
     points of a few leaves that follow each other, and of the leaves near these.
     """
     tree = boxes(points, n, low, half)
-    leaves = sorted((i for i, b in enumerate(tree) if not b.children), key=lambda i: tree[i].code << (DEPTH - tree[i].level))
-    firsts = np.array([tree[i].code << (DEPTH - tree[i].level) for i in leaves])
+    leaves, firsts = leaves_of(tree)
     numbers = np.array(leaves)
     xs = [f"x{d}" for d in range(p)]
     spark = points.sparkSession

@@ -208,6 +208,38 @@ def test_knn_over_many_blocks(spark):
     assert len(got) == n
 
 
+@pytest.mark.parametrize("weights", ["uniform", "distance"])
+def test_knn_by_boxes(spark, monkeypatch, weights):
+    from sparkloom.operators import distances
+
+    rng = np.random.default_rng(11)
+    n, k = 1500, 3
+    x = np.stack([np.round(rng.uniform(-900, 9000, n), 2), rng.integers(0, 6, n), rng.normal(0, 3, n)], axis=1)
+    x[:300] = x[300:600]  # copies, whose ids decide
+    x[rng.random((n, 3)) < 0.15] = np.nan
+    x[np.isnan(x).all(axis=1), 1] = 2.0
+    ids = rng.permutation(n)
+    df = spark.createDataFrame([(int(i), *(None if np.isnan(v) else float(v) for v in r)) for i, r in zip(ids, x, strict=True)], "rid long, a double, b double, c double")
+    model = imputers.KnnImputer(k, weights).fit(df, ["a", "b", "c"])
+    with monkeypatch.context() as changed:
+        changed.setattr(distances, "LEAF", 60)
+        changed.setattr(imputers, "_by_all_pairs", None)
+        boxed = {r["rid"]: tuple(r) for r in model.transform(df).collect()}
+    monkeypatch.setattr(imputers, "MOST_JOBS", 0)
+    paired = {r["rid"]: tuple(r) for r in model.transform(df).collect()}
+    assert len(boxed) == n and boxed.keys() == paired.keys()
+    by_id = x[np.argsort(ids)]
+    for i in range(n):
+        both = ~np.isnan(by_id[i]) & ~np.isnan(by_id)
+        d = np.where(both, (by_id - by_id[i]) ** 2, 0).sum(axis=1) * (3 / np.maximum(both.sum(axis=1), 1))
+        near = np.lexsort((np.arange(n), np.where(both.any(axis=1), d, np.inf)))[:k]
+        w = np.ones(k) if weights == "uniform" else 1 / np.maximum(d[near], 1e-12)
+        for j in range(3):
+            some = ~np.isnan(by_id[near, j])
+            want = by_id[i, j] if not np.isnan(by_id[i, j]) else (by_id[near, j] * w)[some].sum() / w[some].sum() if some.any() else None
+            assert boxed[i][j + 1] == (want if want is None else pytest.approx(want, rel=1e-9)) and paired[i][j + 1] == (want if want is None else pytest.approx(want, rel=1e-9))
+
+
 def test_selection(spark):
     df = frame(spark, a=[1, 1, 5, 5], b=[1, 2, 1, 2], y=[0, 0, 1, 1])
     assert selection.f_classif(df, ["a", "b"], "y") == [math.inf, 0.0]
