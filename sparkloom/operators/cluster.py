@@ -61,7 +61,7 @@ class KMeansModel(Model):
 class KMeans(Estimator):
     """Lloyd's algorithm from k-means++ or random rows; of n_init starts the one of the least inertia.
 
-    A round is one pass: tasks assign their rows in numpy and return sums and counts by centre. It ends once the mean
+    A round of all starts is one pass: tasks assign their rows in numpy and return sums and counts by centre. It ends once the mean
     squared shift of the centres is tol or less; a centre without rows stays. Seeding draws by the rows' order of rid
     with a xorshift generator; a draw scans the distances of all rows and returns one row.
     """
@@ -86,12 +86,9 @@ class KMeans(Estimator):
             raise InvalidInput(f"{self.k} clusters of {n} rows")
         rows = df.select(F.col(f"`{self.rid}`").cast("bigint").alias("rid"), *(F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols))).persist()
         try:
-            best = None
-            for start in range(self.n_init):
-                run = self.lloyd(rows, self._seeds(rows, n, len(cols), Xorshift(self.seed + start)))
-                if best is None or run[1] < best[1]:
-                    best = run
-            centres, inertia, rounds, before = best
+            rngs = [Xorshift(self.seed + start) for start in range(self.n_init)]
+            runs = self.lloyds(rows, self._seeds(rows, n, len(cols), rngs))
+            centres, inertia, rounds, before = min(runs, key=lambda run: run[1])  # the first of equals
             return KMeansModel(cols, centres.tolist(), inertia, rounds, assigned_by=before.tolist())
         finally:
             rows.unpersist()
@@ -99,93 +96,115 @@ class KMeans(Estimator):
     def fit_from(self, df: DataFrame, cols: list[str], centres: list[list[float]]) -> KMeansModel:
         """A single run from given centres."""
         rows = df.select(*(F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(cols)))
-        found, inertia, rounds, before = self.lloyd(rows, np.array(centres, dtype=float))
+        [(found, inertia, rounds, before)] = self.lloyds(rows, [np.array(centres, dtype=float)])
         return KMeansModel(list(cols), found.tolist(), inertia, rounds, assigned_by=before.tolist())
 
-    def _row(self, rows: DataFrame, rid: int, p: int) -> np.ndarray:
-        r = rows.where(F.col("rid") == rid).first()
-        return np.array([r[f"x{i}"] for i in range(p)])
+    def _rows(self, rows: DataFrame, rids: list[int], p: int) -> list[np.ndarray]:
+        found = {r["rid"]: np.array([r[f"x{i}"] for i in range(p)]) for r in rows.where(F.col("rid").isin(sorted({int(r) for r in rids}))).collect()}
+        return [found[r] for r in rids]
 
-    def _seeds(self, rows: DataFrame, n: int, p: int, rng: Xorshift) -> np.ndarray:
+    def _seeds(self, rows: DataFrame, n: int, p: int, rngs: list[Xorshift]) -> list[np.ndarray]:
+        """First centres of each start; a draw of all starts takes two scans, and one of a block for each."""
         if self.init == "random":
-            return np.array([self._row(rows, i, p) for i in rng.permutation(n)[: self.k]])
-        centres = [self._row(rows, rng.below(n), p)]
-        while len(centres) < self.k:
-            fixed = np.array(centres)
+            return list(np.array(self._rows(rows, [i for rng in rngs for i in rng.permutation(n)[: self.k]], p)).reshape(len(rngs), self.k, p))
+        centres = [[c] for c in self._rows(rows, [rng.below(n) for rng in rngs], p)]
+        while len(centres[0]) < self.k:
+            fixed = [np.array(c) for c in centres]
 
-            def nearest(batches, fixed: np.ndarray = fixed):
+            def distances(batch: pa.RecordBatch, fixed: list = fixed) -> tuple[np.ndarray, list[np.ndarray]]:
+                rid, x = _batch(batch, ["rid"])[0].astype(np.int64), _batch(batch, [f"x{i}" for i in range(p)])
+                return rid, [_squares(x, f).min(axis=0) for f in fixed]
+
+            def blocks(batches):
                 for batch in batches:
-                    d = _squares(batch[[f"x{i}" for i in range(p)]].to_numpy(dtype=float), fixed).min(axis=1)
-                    yield pd.DataFrame({"block": batch["rid"].to_numpy() // 4096, "rid": batch["rid"].to_numpy(), "d": d})
-
-            scored = rows.mapInPandas(nearest, "block bigint, rid bigint, d double").persist()
-            sums = sorted((r["block"], r["s"]) for r in scored.groupBy("block").agg(F.sum("d").alias("s")).collect())
-            total = sum(s for _, s in sums)
-            if total <= 0:
-                chosen = min(len(centres), n - 1)
-            else:
-                left, chosen = rng.unit() * total, n - 1
-                for block, s in sums:
-                    if left <= s:
-                        for r in scored.where(F.col("block") == block).orderBy("rid").collect():  # 4096 rows at most
-                            left -= r["d"]
-                            if left <= 0:
-                                chosen = r["rid"]
-                                break
-                        break
-                    left -= s
-            scored.unpersist()
-            centres.append(self._row(rows, chosen, p))
-        return np.array(centres)
-
-    def lloyd(self, rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, float, int, np.ndarray]:
-        """Centres, inertia, rounds and the centres of the last assignment."""
-        rounds, shift, before = 0, math.inf, centres
-        while rounds < self.max_iter and shift > self.tol:
-            before = centres
-            counts, sums = _assigned(rows, before)
-            centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], before)
-            shift = float(((centres - before) ** 2).sum()) / len(centres)
-            rounds += 1
-        return centres, _inertia(rows, before, centres), rounds, before
+                    rid, d = distances(batch)
+                    found, at = np.unique(rid // 4096, return_inverse=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(np.bincount(at, v, len(found))) for v in d)], ["block", *(f"d{i}" for i in range(len(d)))])
+
+            names = [f"d{i}" for i in range(len(rngs))]
+            summed = rows.mapInArrow(blocks, f"block bigint, {', '.join(f'{d} double' for d in names)}").groupBy("block").agg(*(F.sum(d).alias(d) for d in names)).toPandas().sort_values("block")
+            chosen, inside = [], {}
+            for i, rng in enumerate(rngs):
+                sums = summed[names[i]].to_numpy()
+                reach = np.cumsum(sums)
+                if not len(sums) or reach[-1] <= 0:
+                    chosen.append(min(len(centres[i]), n - 1))
+                    continue
+                left = rng.unit() * reach[-1]
+                at = int(np.searchsorted(reach, left))
+                chosen.append(n - 1)
+                if at < len(sums):
+                    inside[i] = (int(summed["block"].iloc[at]), left - (reach[at - 1] if at else 0.0))
+            if inside:
+                held = {b: [] for b, _ in inside.values()}
+                for r in rows.where(F.floor(F.col("rid") / 4096).isin(sorted(held))).collect():  # 4096 rows a start at most
+                    held[r["rid"] // 4096].append((r["rid"], *(r[f"x{j}"] for j in range(p))))
+                for i, (b, left) in inside.items():
+                    block = np.array(sorted(held[b]))
+                    at = int(np.searchsorted(np.cumsum(_squares(block[:, 1:].T, fixed[i]).min(axis=0)), left))
+                    if at < len(block):
+                        chosen[i] = int(block[at, 0])
+            for c, x in zip(centres, self._rows(rows, chosen, p), strict=True):
+                c.append(x)
+        return [np.array(c) for c in centres]
+
+    def lloyds(self, rows: DataFrame, starts: list[np.ndarray]) -> list[tuple[np.ndarray, float, int, np.ndarray]]:
+        """Centres, inertia, rounds and the centres of the last assignment, of each start; a round of all is one pass."""
+        centres, before = list(starts), list(starts)
+        rounds, shift = [0] * len(starts), [math.inf] * len(starts)
+        while moving := [i for i in range(len(starts)) if rounds[i] < self.max_iter and shift[i] > self.tol]:
+            for i, (counts, sums) in zip(moving, _assigned(rows, [centres[i] for i in moving]), strict=True):
+                before[i] = centres[i]
+                centres[i] = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], before[i])
+                shift[i] = float(((centres[i] - before[i]) ** 2).sum()) / len(centres[i])
+                rounds[i] += 1
+        return list(zip(centres, _inertia(rows, before, centres), rounds, before, strict=True))
+
+
+def _batch(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return matrix({c: batch.column(batch.schema.get_field_index(c)) for c in names}, names)
 
 
 def _squares(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    return ((x[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)
+    """Squared distances, one row a centre, of the columns of x."""
+    return np.array([sum((v - m) ** 2 for v, m in zip(x, centre, strict=True)) for centre in centres])
 
 
-def _assigned(rows: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Counts and sums of the rows nearest to each centre."""
-    k, p = centres.shape
+def _assigned(rows: DataFrame, starts: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Counts and sums of the rows nearest to each centre, for each start."""
+    k, p = starts[0].shape
 
     def run(batches):
-        counts, sums = np.zeros(k), np.zeros((k, p))
+        total = np.zeros((len(starts), k, p + 1))
         for batch in batches:
-            x = batch[[f"x{i}" for i in range(p)]].to_numpy(dtype=float)
-            near = _squares(x, centres).argmin(axis=1)
-            counts += np.bincount(near, minlength=k)
-            np.add.at(sums, near, x)
-        yield pd.DataFrame({"c": range(k), "n": counts, "s": sums.tolist()})
+            x = _batch(batch, [f"x{i}" for i in range(p)])
+            for i, centres in enumerate(starts):
+                near = _squares(x, centres).argmin(axis=0)
+                total[i, :, 0] += np.bincount(near, minlength=k)
+                for j in range(p):
+                    total[i, :, j + 1] += np.bincount(near, x[j], k)
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()])], ["s"])
 
-    parts = rows.mapInPandas(run, "c int, n double, s array<double>").select("c", "n", F.posexplode("s").alias("i", "v")).groupBy("c", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
-    counts, sums = np.zeros(k), np.zeros((k, p))
-    for r in parts:
-        counts[r["c"]], sums[r["c"], r["i"]] = r["n"], r["v"]
-    return counts, sums
+    total = np.zeros(len(starts) * k * (p + 1))
+    parts = rows.mapInArrow(run, "s array<double>").select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+    for r in parts.collect():
+        total[r["i"]] = r["v"]
+    return [(t[:, 0], t[:, 1:]) for t in total.reshape(len(starts), k, p + 1)]
 
 
-def _inertia(rows: DataFrame, assigned_by: np.ndarray, centres: np.ndarray) -> float:
-    """Squared distances of rows to the centres they were assigned to."""
-    p = centres.shape[1]
+def _inertia(rows: DataFrame, assigned_by: list[np.ndarray], centres: list[np.ndarray]) -> list[float]:
+    """Squared distances of rows to the centres they were assigned to, for each start."""
+    p = centres[0].shape[1]
 
     def run(batches):
-        total = 0.0
+        total = [0.0] * len(centres)
         for batch in batches:
-            x = batch[[f"x{i}" for i in range(p)]].to_numpy(dtype=float)
-            total += float(((x - centres[_squares(x, assigned_by).argmin(axis=1)]) ** 2).sum())
-        yield pd.DataFrame({"t": [total]})
+            x = _batch(batch, [f"x{i}" for i in range(p)])
+            for i, (before, now) in enumerate(zip(assigned_by, centres, strict=True)):
+                total[i] += float(((x - now[_squares(x, before).argmin(axis=0)].T) ** 2).sum())
+        yield pa.RecordBatch.from_arrays([pa.array([total])], ["t"])
 
-    return rows.mapInPandas(run, "t double").agg(F.sum("t")).first()[0]
+    return list(rows.mapInArrow(run, "t array<double>").agg(*(F.sum(F.col("t")[i]) for i in range(len(centres)))).first())
 
 
 def silhouette_samples(df: DataFrame, cols: list[str], label: str, rid: str = "rid") -> DataFrame:

@@ -569,7 +569,8 @@ def kmeans_step(spark, d):
 def kmeans(spark, d):
     """Three groups far apart, found from seeds drawn by k-means++; clusters are named by their smallest key."""
     far = F.when(F.col("o_orderstatus") == "F", 0.0).when(F.col("o_orderstatus") == "O", 1e7).otherwise(-3e7)
-    df = _numbered(spark, d).join(orders(spark, d).select("o_orderkey", "o_totalprice"), "o_orderkey").select("o_orderkey", "rid", (far + F.col("o_totalprice")).alias("a"), (far / 2).alias("b"))
+    numbered = stats.with_rid(t(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), ["o_orderkey"])
+    df = numbered.select("o_orderkey", "rid", (far + F.col("o_totalprice")).alias("a"), (far / 2).alias("b"))
     got = cluster.KMeans(3, n_init=3, max_iter=20).fit(df, ["a", "b"]).transform(df)
     names = got.groupBy("cluster").agg(F.min("o_orderkey").alias("name"))
     return got.join(F.broadcast(names), "cluster").select("o_orderkey", F.col("name").alias("cluster"))  # one row a cluster

@@ -325,6 +325,14 @@ def test_kmeans_and_silhouette(spark):
         cluster.KMeans(20).fit(df, ["a", "b"])
 
 
+def test_kmeans_starts_share_passes(spark, monkeypatch):
+    passes, real = [], cluster._assigned
+    monkeypatch.setattr(cluster, "_assigned", lambda *a: passes.append(1) or real(*a))
+    df = frame(spark, a=[i % 3 * 100 + i for i in range(30)], b=[i % 3 * 50 for i in range(30)])
+    m = cluster.KMeans(3, n_init=3, max_iter=4, tol=0.0).fit(df, ["a", "b"])
+    assert len(passes) <= 4 and sorted(m.centres) == [pytest.approx(c) for c in ([13.5, 0], [114.5, 50], [215.5, 100])]
+
+
 def test_silhouette_of_all_customers(spark):
     import duckdb
 
